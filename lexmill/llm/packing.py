@@ -140,7 +140,7 @@ def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", capacity: int = CAP
     where = spark.createDataFrame(table, "size int, buckets long, runs array<struct<lo:long,hi:long,first:long,each:long>>")
     hashed = items.join(F.broadcast(where), "size").withColumn("h", F.xxhash64(id_col, "piece")).withColumn("bucket", F.pmod("h", "buckets")).withColumn("one", F.lit(1).cast("long"))
     ranked = prefix_sums(hashed, ["size"], "bucket", ["h", id_col, "piece"], "one", "r")
-    run = F.filter("runs", lambda x: (x["lo"] <= F.col("r")) & (F.col("r") < x["hi"]))[0]
+    run = F.get(F.filter("runs", lambda x: (x["lo"] <= F.col("r")) & (F.col("r") < x["hi"])), 0)
     placed = ranked.withColumn("run", run)
     spare = F.col("r") % plan.n_containers if plan.n_containers else F.lit(None)
     container = F.when(F.col("size") > 0, F.col("run.first") + F.expr("(r - run.lo) div run.each")).otherwise(spare).cast("long")
