@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, fusion, lookalikes, mixing, packing, tokens, vectors
+from . import distinctive, fusion, languages, lookalikes, markup, mixing, packing, sentences, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,50 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("qid", "term", "tf", "cf", F.round("score", 6).alias("score"))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Rows delivered twice once."""
+    return _read(spark, d, "sentences").groupBy("pos").agg(F.max("text").alias("text"), F.max("section").alias("section"), F.max("is_prose").alias("is_prose"))
+
+
+def _splitter(spark: SparkSession, d: str) -> sentences.Model:
+    return sentences.train(sentences.training_units(_read(spark, d, "lang_refs"), _read(spark, d, "sentences").filter("is_prose")))
+
+
+def _tagged(df: DataFrame, tab: str, id_col: str) -> DataFrame:
+    return df.withColumnRenamed(id_col, "rec_id").select(F.lit(tab).alias("tab"), "*")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _splitter(spark, d)
+    docs = _read(spark, d, "documents").select("doc_id", "text").join(_read(spark, d, "split_docs").select("doc_id"), "doc_id", "left_semi")
+    sents = _read(spark, d, "sentences").filter("is_prose").select("pos", "text")
+    both = _tagged(sentences.split_units(docs, model), "documents", "doc_id").unionByName(_tagged(sentences.split_units(sents, model, "pos"), "sentences", "pos"))
+    return both.filter("unit > 0").select("tab", "rec_id", F.col("start_at").cast("long").alias("start_at")).distinct()
+
+
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    model = _splitter(spark, d)
+    docs, sents = _read(spark, d, "documents"), _sentences(spark, d)
+    return _tagged(sentences.split_units(docs, model), "documents", "doc_id").unionByName(_tagged(sentences.split_units(sents, model, "pos"), "sentences", "pos"))
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").filter("modality = 'prose'").select("doc_id", "text")
+    # each heading path is read once, however many sentences stand below it
+    paths = _read(spark, d, "sentences").filter("section is not null").select("section").distinct()
+    cleaned = markup.clean_texts(paths.withColumn("path", F.col("section")), "section", "path", " \u203a ")
+    sents = _read(spark, d, "sentences").select("pos", "section").distinct().join(cleaned, "section").drop("section")
+    return _tagged(markup.clean_texts(docs), "documents", "doc_id").unionByName(_tagged(sents, "sentences", "pos"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).select("tab", "rec_id", F.explode("notations").alias("markup")).distinct()
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(_read(spark, d, "documents"), _read(spark, d, "source_specs")).filter("short").select("name")
 
@@ -51,6 +95,29 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(_read(spark, d, "sent_vectors"))
 
 
+def _profiles(spark: SparkSession, d: str) -> tuple[languages.Profiles, dict[str, str]]:
+    docs = _read(spark, d, "documents").filter("modality = 'prose'").select(F.col("sonar_lang").alias("label"), "text")
+    samples = _read(spark, d, "samples").filter("category in ('prose', 'num')").select(F.col("lang").alias("label"), "text")
+    return languages.train(_read(spark, d, "lang_refs"), [docs, samples])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    profiles, labels = _profiles(spark, d)
+    docs = _read(spark, d, "documents").filter("modality = 'prose'")
+    samples = _read(spark, d, "samples").filter("category in ('prose', 'num')").select("sample_id", "text", "lang").distinct()
+    a = languages.missing_languages(docs, profiles, labels, "doc_id", "text", "sonar_lang")
+    b = languages.missing_languages(samples, profiles, labels, "sample_id", "text", "lang")
+    return _tagged(a, "documents", "doc_id").unionByName(_tagged(b, "samples", "sample_id"))
+
+
+def p7_stretches(spark: SparkSession, d: str) -> DataFrame:
+    profiles, _ = _profiles(spark, d)
+    samples = _read(spark, d, "samples").groupBy("sample_id").agg(F.max("text").alias("text"))
+    a = languages.language_stretches(_read(spark, d, "documents"), profiles)
+    b = languages.language_stretches(samples, profiles, "sample_id")
+    return _tagged(a, "documents", "doc_id").unionByName(_tagged(b, "samples", "sample_id"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(_read(spark, d, "documents"))
 
