@@ -23,8 +23,8 @@ ORACLE = {
 SELECT s.name FROM source_specs s LEFT JOIN (SELECT lower(trim(source)) AS k, sum(greatest(coalesce(n_chars, 0), 0)) AS x FROM documents GROUP BY 1) d ON d.k = lower(trim(s.name)),
 (SELECT sum(greatest(coalesce(n_chars, 0), 0)) AS t FROM documents) WHERE coalesce(x, 0) * s.max_repeat * 100 < s.pct * t""",
     "p6_found": """
-WITH v AS (SELECT pos, encoder, any_value(emb) AS e FROM sent_vectors WHERE len(emb) = 64 AND len(list_filter(emb, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-  AND len(list_filter(emb, x -> x <> 0)) > 0 GROUP BY pos, encoder)
+WITH v AS (SELECT pos, encoder, any_value(emb) AS e FROM sent_vectors WHERE len(emb) = 64 AND len(list_filter(emb, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(emb, lambda x: x <> 0)) > 0 GROUP BY pos, encoder)
 SELECT a.pos AS pos_a, b.pos AS pos_b FROM v a JOIN v b ON a.encoder = b.encoder AND a.pos < b.pos WHERE list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) >= 0.9""",
 }
 
