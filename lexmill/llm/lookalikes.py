@@ -78,11 +78,6 @@ def tables() -> dict[str, np.ndarray]:
                 if how and how[0] != "<" and " " in how and unicodedata.normalize("NFC", ch) == ch:
                     a, b = (int(x, 16) for x in how.split())
                     pairs[int(a) << 32 | b] = c
-    # the letter itself may be one that was folded (Cyrillic e with diaeresis): compose with the folded letter
-    for key, c in list(pairs.items()):
-        a, b = key >> 32, key & 0xFFFFFFFF
-        if (f := alike.get(chr(a))) is not None:
-            pairs.setdefault(ord(f) << 32 | b, c)
     keys = np.array(sorted(pairs), np.int64)
     _tables.update(size=size, start=start, first=first, ccc=ccc, pool=np.array(pool or [0], np.uint32), keys=keys, made=np.array([pairs[k] for k in keys.tolist()], np.uint32))
     return _tables

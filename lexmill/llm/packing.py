@@ -74,6 +74,12 @@ def nonnegative_fit(a: np.ndarray, h: np.ndarray, rounds: int = 400) -> np.ndarr
 
 
 def make_plan(hist: dict[int, int], capacity: int = CAPACITY, n_patterns: int = PATTERNS) -> Plan:
+    """The fitted plan, or, for histograms that no few patterns fit, the one by largest lengths alone if it is tighter."""
+    plans = [_plan(hist, capacity, n_patterns), _plan(hist, capacity, 0)]
+    return min(plans, key=lambda p: p.n_containers)
+
+
+def _plan(hist: dict[int, int], capacity: int, n_patterns: int) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for k, n in hist.items():
         if k > 0:
@@ -93,7 +99,7 @@ def make_plan(hist: dict[int, int], capacity: int = CAPACITY, n_patterns: int =
     if left[capacity]:
         put(np.array([capacity]), np.array([1]), int(left[capacity]))
     fitted = 0
-    if left.sum() > 0:
+    if n_patterns and left.sum() > 0:
         a = enumerate_patterns(left.astype(np.float64), capacity, n_patterns)
         x = nonnegative_fit(a.astype(np.float64), left.astype(np.float64))
         for i in np.argsort(-x, kind="stable"):

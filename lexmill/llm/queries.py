@@ -29,7 +29,8 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _splitter(spark: SparkSession, d: str) -> sentences.Model:
-    return sentences.train(sentences.training_units(_read(spark, d, "lang_refs"), _read(spark, d, "sentences").filter("is_prose")))
+    delivered = _read(spark, d, "sentences").filter("is_prose")
+    return sentences.train(sentences.training_units(_read(spark, d, "lang_refs"), delivered), short=sentences.abbreviations(delivered))
 
 
 def _tagged(df: DataFrame, tab: str, id_col: str) -> DataFrame:
