@@ -52,10 +52,10 @@ def fit(rows: DataFrame, label: str = "label", l2: float = 1.0, shrink: float |
         k = len(features)
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            w, b = _descend((pdf.iloc[:, :k].to_numpy() - mean) / std, pdf["y"].to_numpy(), l2, steps, rate)
+            w, b = _descend((pdf.iloc[:, :k].to_numpy(float) - mean) / std, pdf["y"].to_numpy(), l2, steps, rate)
             return pd.DataFrame({"w": [w.tolist()], "b": [float(b)]})
 
-        got = data.groupBy(F.lit(0)).applyInPandas(lambda pdf: one(pdf), "w array<double>, b double").first()
+        got = data.withColumn("all_rows", F.lit(0)).groupBy("all_rows").applyInPandas(one, "w array<double>, b double").first()
         w, b = np.array(got["w"]), got["b"]
     else:
         w, b = np.zeros(len(features)), 0.0

@@ -26,7 +26,7 @@ def test_graph(spark):
     start = spark.createDataFrame([("a",)], "entity string")
     assert {(r["id"], r["hop"]) for r in graph.neighbourhood(start, e, 2).collect()} == {(0, 1), (3, 1), (5, 1), (1, 2)}
     names = spark.createDataFrame([("Pay",), ("PAY ",), ("ds",), ("zz",), ("",)], "name string")
-    assert {r["name"]: r["entity"] for r in graph.resolved(names, e).collect()} == {"Pay": "Pay", "PAY ": "Pay", "ds": None, "zz": None, "": None}
+    assert {r["name"]: r["entity"] for r in graph.resolved(names, e).collect()} == {"Pay": "Pay", "PAY ": "Pay", "ds": "d", "zz": None, "": None}
     lines = [r["line"] for r in graph.facts("a", e).orderBy("place").collect()]
     assert lines == ["a (2 facts, hops=1)", "a r b #0,3", graph.DIVIDER, "Pay q a #5"]
     got = {r["id"]: r["status"] for r in graph.provenance(spark.createDataFrame([(0,), (99,), (-1,)], "id long"), e, spark.createDataFrame([], "source string, sent_idx int, text string"), 200).collect()}
