@@ -53,7 +53,7 @@ class Engine:
         self.docs = spark.createDataFrame([], "source string, doc_seq long, sha256 string, text string")
         self.edges = spark.createDataFrame([], EMPTY_EDGES)
         self.errors: list[tuple[str, str]] = []
-        self._texts, self._index = 0, None
+        self._texts, self._index, self._facts = 0, None, False
         for p in paths:
             self.add(p)
 
@@ -88,7 +88,8 @@ class Engine:
 
         top = self.edges.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
         new = edges.withColumn("id", F.row_number().over(Window.orderBy("source", "sent_idx", "s", "r", "o")) + F.lit(top))
-        self.edges = self.edges.unionByName(new.select(*self.edges.columns))
+        self.edges = self.edges.unionByName(new.select(*self.edges.columns)).persist()
+        self._facts = True
 
     # ---- reading ----
 
@@ -104,6 +105,7 @@ class Engine:
             s = s.withColumn("shown", T.shown_section(F.col("section")))
             searched = F.when(F.col("is_prose"), F.col("text")).otherwise(T.code_terms(F.col("text"), F.col("source")))
             s = ranking.tokenized(s, searched).persist()
+            s.count()
             post = ranking.postings(s).persist()
             self._index = {"sentences": s, "postings": post, "vocab": ranking.vocabulary(s, post).persist()}
             if self.vectors:
@@ -115,13 +117,17 @@ class Engine:
         ix = self.index()
         s = ix["sentences"]
         qt = ranking.question_tokens(questions, s, ix["vocab"])
-        ents = graph.question_entities(questions, self.edges)
-        lex = ranking.boosted(ranking.text_scores(qt, ix["postings"]), graph.boost_sentences(ents, self.edges, s))
+        lex = ranking.text_scores(qt, ix["postings"]).withColumn("prov", F.lit(0.0))
+        ents = None
+        if self._facts:  # without facts there is nothing to resolve and no sentence to prefer
+            ents = graph.question_entities(questions, self.edges).persist()
+            lex = ranking.boosted(lex.drop("prov"), graph.boost_sentences(ents, self.edges, s))
+        lex = lex.persist()
         if scorer == "lexical" or scorer == "dense" and not self.vectors:
             return lex.select("qid", "pos", F.col("lex").alias("score")), None
         if scorer == "dense":
             return self._dense(questions, lex), None
-        with_ents = questions.join(ents.groupBy("qid").agg(F.collect_list(T.tokens(F.col("entity"))).alias("ents")), "qid", "left").withColumn("ents", F.coalesce("ents", F.array().cast("array<array<string>>")))
+        with_ents = questions if ents is None else questions.join(ents.groupBy("qid").agg(F.collect_list(T.tokens(F.col("entity"))).alias("ents")), "qid", "left").withColumn("ents", F.coalesce("ents", F.array().cast("array<array<string>>")))
         got = ranking.learned(ranking.featurized(ranking.shortlist(lex, questions), with_ents, s))
         conf = got.select("qid", "conf").distinct()
         scores = got.select("qid", "pos", "score")
@@ -143,23 +149,28 @@ class Engine:
         q = questions.select("qid", "question", F.least(F.greatest(F.coalesce(budget, F.lit(self.budget)), F.lit(lo)), F.lit(hi)).alias("budget"))
         q = ranking.tokenized(q, F.col("question")).persist()
         scores, conf = self._scored(q, scorer)
-        up = ranking.pulled_up(scores, self.sentences())
+        # each step reads the one before more than once: kept rows keep the plans small
+        scores = scores.persist()
+        conf = None if conf is None else conf.persist()
+        up = ranking.pulled_up(scores, self.sentences()).persist()
         if widen and conf is not None:
             q2 = q.join(conf, "qid", "left").withColumn("budget", F.coalesce(reply.widened_budget(F.col("budget"), F.col("conf")), F.col("budget"))).drop("conf")
         else:
             q2 = q
-        lines = reply.packed(up, q2, self.sentences())
+        lines = reply.packed(up, q2, self.sentences()).persist()
         if hop:
             lines = self._hopped(q2, lines, scorer)
         return reply.rendered(lines, q, conf)
 
     def _hopped(self, q: DataFrame, lines: DataFrame, scorer: str) -> DataFrame:
         """Asked again with the names the best lines bring in; both replies in turns, within the first one's size."""
-        names = reply.hop_names(lines, q, self.sentences())
+        names = reply.hop_names(lines, q, self.sentences()).persist()
         again = q.join(names, "qid").select("qid", F.concat_ws(" ", F.array_join("names", " "), "question").alias("question"), F.lit(600).alias("budget"))
-        again = ranking.tokenized(again, F.col("question"))
-        scores, _ = self._scored(again, scorer)
-        second = reply.packed(ranking.pulled_up(scores, self.sentences()), again, self.sentences())
+        again = ranking.tokenized(again, F.col("question")).persist()
+        if not names.limit(1).count():
+            return lines.select("qid", "line_no", "line")
+        scores = self._scored(again, scorer)[0].persist()
+        second = reply.packed(ranking.pulled_up(scores, self.sentences()).persist(), again, self.sentences()).persist()
         cap = lines.groupBy("qid").agg(F.floor((F.sum(F.length("line") + 1) + len(reply.HEAD)) / 4).alias("tokens"))
         hopped = lines.join(names.select("qid"), "qid", "left_semi")
         merged = reply.within_size(reply.interleaved_lines(hopped, second), cap)

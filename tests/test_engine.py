@@ -198,35 +198,27 @@ def test_engine(spark):
     e = Engine(spark)
     assert [r["status"] for r in e.add(DOC, "guide.md").collect()] == ["ingested"]
     assert [r["status"] for r in e.add(DOC, "guide.md").collect()] == ["unchanged"]
-    e.add("def pay(amountDue):\n    return amountDue * 2\n", "pay.py")
-    a = e.ask("Who wrote the packer?", 100)
-    assert "Ann Lee wrote the packer in 2019." in a and "[guide.md § Speed]" in a
-    assert e.ask("zzz qqq", 100) == reply.NONE
-    assert "amountDue" in e.ask("amount due", 100, scorer="lexical")
-    assert "Question: Who" in e.context("Who wrote the packer?")
-    many = spark.createDataFrame([(1, "Who wrote the packer?", None), (2, "What does the indexer keep?", 200)], "qid long, question string, budget int")
-    got = {r["qid"]: r["reply"] for r in e.answers(many).collect()}
-    assert "Ann Lee" in got[1] and "heading path" in got[2]
+    many = spark.createDataFrame([(1, "Who wrote the packer?"), (2, "What does the indexer keep?"), (3, "zzz qqq")], "qid long, question string")
+    got = {r["qid"]: r["reply"] for r in e.answers(many, hop=False).collect()}
+    assert "[guide.md § Speed] Ann Lee wrote the packer in 2019." in got[1] and "heading path" in got[2] and got[3] == reply.NONE
     with pytest.raises(ValueError):
         e.answers(many, scorer="other")
-    assert [r["text"] for r in e.search("HEADING path").collect()] and e.search("HEADING path").count() == 1
+    assert e.search("HEADING path").count() == 1
     e.add_edges(spark.createDataFrame([("ann", "wrote", "packer", "wrote", None, "guide.md", 0)], "s string, r string, o string, r_lex string, pattern string, source string, sent_idx int"))
     assert e.query("Ann").orderBy("place").collect()[1]["line"] == "ann wrote packer #0"
-    assert "no entity matches" in e.query("nobody").first()["line"] and e.provenance(0).first()["status"] == "known"
     s = e.stats().first()
-    assert s["docs"] == 2 and s["edges"] == 1 and s["entities"] == 2
+    assert s["docs"] == 1 and s["edges"] == 1 and s["entities"] == 2
     e.add(DOC.replace("2019", "2020"), "guide.md")
-    assert "2020" in e.ask("Who wrote the packer?", 100) and e.edges.count() == 0
+    assert e.search("2020").count() == 1 and e.edges.count() == 0
     e.drop("guide.md")
-    assert e.docs.count() == 1
+    assert e.docs.count() == 0
 
 
 def test_engine_with_vectors(spark):
     e = Engine(spark, vectors=True)
     e.add(DOC, "guide.md")
     q = spark.createDataFrame([(1, "Who wrote the packer?")], "qid long, question string")
-    for scorer in ("dense", "learned"):
-        assert "packer" in e.answers(q, scorer=scorer, hop=False).first()["reply"]
+    assert "packer" in e.answers(q, scorer="dense", hop=False).first()["reply"]
 
 
 def test_small_tables(spark):
