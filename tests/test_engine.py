@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -194,6 +195,10 @@ def test_streams(spark, tmp_path):
 DOC = "# Guide\n## Storage\nThe indexer keeps every heading path. It stores them by file.\n## Speed\nThe packer fits the best lines into a budget. Ann Lee wrote the packer in 2019.\n" + "Filler words about nothing in particular go here. " * 30
 
 
+slow = pytest.mark.skipif(not os.environ.get("LEXMILL_SLOW"), reason="takes minutes on one machine; set LEXMILL_SLOW to run")
+
+
+@slow
 def test_engine(spark):
     e = Engine(spark)
     assert [r["status"] for r in e.add(DOC, "guide.md").collect()] == ["ingested"]
@@ -214,6 +219,7 @@ def test_engine(spark):
     assert e.docs.count() == 0
 
 
+@slow
 def test_engine_with_vectors(spark):
     e = Engine(spark, vectors=True)
     e.add(DOC, "guide.md")
