@@ -1,10 +1,15 @@
 """Problem 4: a mix in which each source has its share.
 
-The mix has as many characters as all documents together, in slots of equal size. Slot i stands at the point
-frac((i + 1/2) * golden ratio); the cumulative shares of the sources say whose slot it is, so every stretch of the
-mix, however short, has nearly the target shares. The documents of a source are shuffled, anew for each repetition,
-and cut into blocks of a slot's size; the n-th slot of a source takes its n-th block. A source whose blocks run out,
-though each document is used max_repeat times, leaves its slots empty, and the report says so.
+The mix has as many characters as all documents together. The documents of a source are shuffled, anew for each
+repetition, and used in that order as long as they stay within the source's target; what is then left of the target is
+filled with shorter ones, the longer before the shorter, and with one more if that comes nearer. So a source that has
+enough differs from its target by less than a document, whatever the size of the mix. A source that has not enough is
+in the mix with each document max_repeat times, and the report says so.
+
+The mix is laid out in slots. Slot i stands at the point frac((i + 1/2) * golden ratio); the cumulative shares of the
+sources say whose slot it is, so every stretch of the mix, however short, has nearly the shares reached. A source's uses
+are cut into as many equal blocks as it has slots; the n-th slot takes the n-th block. There are as many slots as give
+the smallest source LEAST_SLOTS of them, and no slot is longer than `slot` characters.
 
 Running sums are made in hash buckets, so no source, whatever its part of the rows, is sorted in one task.
 
@@ -17,14 +22,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prefix_sums
+from ._common import cut, prefix_sums
 
 GOLDEN = 0.6180339887498949
-#: characters a slot
+#: characters a slot, at most
 SLOT = 65_536
+#: slots of the smallest source, about, at least
+LEAST_SLOTS = 32
 #: rows a bucket of the running sums
 BUCKET_ROWS = 100_000
 
@@ -57,30 +66,85 @@ def source_supply(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", sou
     return out
 
 
+def _uses(sized: DataFrame, first: str, last: str, seed: int) -> DataFrame:
+    """One row a use: repeats `first` to `last` of each document, with its place (bucket, h, id) in the shuffled order."""
+    each = sized.withColumn("repeat", F.explode(F.expr(f"sequence(cast({first} as int), cast({last} as int))"))).withColumn("h", F.xxhash64("id", "repeat", F.lit(seed)))
+    # a document longer than what the last repetition has to spare cannot be left out of it: these go first, the longest ahead
+    needed = F.when((F.col("repeat") == F.col("copies")) & (F.col("surplus") >= 0) & (F.col("size") > F.col("surplus")), -F.length(F.bin("size"))).otherwise(0)
+    return each.withColumn("bucket", F.struct("repeat", needed.alias("needed"), F.pmod("h", "buckets").alias("b")))
+
+
+def _filled(uses: pa.Table) -> pa.Table:
+    """The uses that fill a source's gap: longer before shorter as far as they fit, and one more if that is nearer."""
+    size, bits, below = (uses[c].to_numpy() for c in ("size", "bits", "below"))
+    order, gap, picks = np.lexsort((below, -bits)), uses["gap"][0].as_py(), []
+    for i in order:
+        if size[i] <= gap:
+            picks.append(i)
+            gap -= int(size[i])
+    rest = order[~np.isin(order, picks)]
+    if len(rest):
+        i = rest[np.argmin(np.abs(size[rest] - gap))]
+        if size[i] < 2 * gap:
+            picks.append(i)
+    out = uses.take(pa.array(picks, pa.int64()))
+    start = uses["taken"][0].as_py() + np.cumsum([0, *size[picks]])[:-1] if picks else []
+    return out.select(["id", "src", "name", "repeat", "size"]).append_column("start", pa.array(start, pa.int64()))
+
+
+def _gap_uses(runs: DataFrame, sized: DataFrame, gaps: list[tuple], seed: int) -> DataFrame:
+    """(id, src, name, repeat, size, start): the uses that follow those within the target. gaps: (src, gap, taken).
+
+    Only uses shorter than twice the gap can bring a source nearer to its target, and of those with equally many
+    bits no more than the gap holds: at most two rows for each character of the gap enter the fill.
+    """
+    g = F.broadcast(runs.sparkSession.createDataFrame(gaps, "src int, gap double, taken long"))
+    late = runs.filter("start + size > target").drop("start").join(g, "src").filter("size < 2 * gap")
+    more = _uses(sized.join(g, "src").filter("size < 2 * gap and copies < max_repeat"), "copies + 1", "least(max_repeat, copies + 1 + ceil(gap / size))", seed)
+    uses = late.unionByName(more).withColumn("bits", F.length(F.bin("size")))
+    near = prefix_sums(uses, ["src", "bits"], "bucket", ["h", "id"], "size", "below").filter("below < gap")
+    kind = runs.schema["id"].dataType.simpleString()
+    return near.select("id", "src", "name", "repeat", "size", "bits", "below", "gap", "taken").groupBy("src").applyInArrow(_filled, f"id {kind}, src int, name string, repeat int, size long, start long")
+
+
 def mix_schedule(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", slot: int = SLOT, seed: int = 7, supply: list[dict] | None = None) -> DataFrame:
     """(id, name, repeat, n_chars, slot, at): every use of a document in the mix; (slot, at) is its place."""
     spark = docs.sparkSession
     supply = supply or source_supply(docs, specs, id_col, source_col, size_col)
-    used = [s for s in supply if s["pct"] > 0]
-    if not used or not used[0]["total"]:
-        return spark.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, name string, repeat int, n_chars long, slot long, at long")
-    total = used[0]["total"]
-    n_slots = math.ceil(total / slot)
+    owners = [s for s in supply if s["pct"] > 0]
+    plan = [(s["key"], k, s["name"], s["copies"], s["max_repeat"], float(s["target"]), float(s["supply"] * s["copies"] - s["target"]), max(1, s["n_docs"] * s["copies"] // BUCKET_ROWS)) for k, s in enumerate(owners) if s["copies"]]
+    empty = spark.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, name string, repeat int, n_chars long, slot long, at long")
+    if not plan:
+        return empty
+    sized = _sized(docs, id_col, source_col, size_col).filter("size > 0").join(F.broadcast(spark.createDataFrame(plan, "key string, src int, name string, copies long, max_repeat long, target double, surplus double, buckets long")), "key")
+    runs = prefix_sums(_uses(sized, "1", "copies", seed), ["src"], "bucket", ["h", "id"], "size", "start")
+    cols = ["id", "src", "name", "repeat", "size", "start"]
+    chosen = runs.filter("start + size <= target").select(*cols)
+    taken = {r["src"]: r["n"] for r in chosen.groupBy("src").agg(F.sum("size").alias("n")).collect()}
+    gaps = [(k, s["target"] - taken.get(k, 0), taken.get(k, 0)) for k, s in enumerate(owners) if s["copies"] and taken.get(k, 0) < s["supply"] * s["max_repeat"]]
+    if gaps := [g for g in gaps if g[1] > 0.5]:
+        extra = cut(_gap_uses(runs, sized, gaps, seed))
+        chosen = chosen.unionByName(extra.select(*cols))
+        for r in extra.groupBy("src").agg(F.sum("size").alias("n")).collect():
+            taken[r["src"]] = taken.get(r["src"], 0) + r["n"]
+    if not taken:
+        return empty
+
+    whole = max(100.0, sum(s["pct"] for s in owners))
+    n_slots = max(math.ceil(owners[0]["total"] / slot), math.ceil(LEAST_SLOTS * whole / min(owners[k]["pct"] for k in taken)))
     shares, run = [], 0.0
-    for s in used:
-        run += s["pct"] / 100
+    for s in owners:
+        run += s["pct"] / whole
         shares.append(run)
     u = F.expr(f"(id + 0.5D) * {GOLDEN!r}D - floor((id + 0.5D) * {GOLDEN!r}D)")
     whose = F.size(F.filter(F.array(*[F.lit(x) for x in shares]), lambda b: b <= u))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), whose.alias("src"), F.expr(f"id div {BUCKET_ROWS}").alias("bucket"), F.lit(1).alias("one")).filter(F.col("src") < len(used))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), whose.alias("src"), F.expr(f"id div {BUCKET_ROWS}").alias("bucket"), F.lit(1).alias("one")).filter(F.col("src").isin(list(taken)))
+    has = {r["src"]: r["n"] for r in slots.groupBy("src").agg(F.count("*").alias("n")).collect()}
     slots = prefix_sums(slots, ["src"], "bucket", ["slot"], "one", "nth").select("slot", "src", "nth")
 
-    plan = spark.createDataFrame([(s["key"], k, s["name"], s["copies"], max(1, s["n_docs"] * s["copies"] // BUCKET_ROWS)) for k, s in enumerate(used) if s["copies"]] or [("", -1, "", 0, 1)], "key string, src int, name string, copies int, buckets long")
-    sized = _sized(docs, id_col, source_col, size_col).filter("size > 0").join(F.broadcast(plan), "key")
-    each = sized.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("h", F.xxhash64("id", "repeat", F.lit(seed)))
-    each = each.withColumn("bucket", F.struct("repeat", F.pmod("h", "buckets").alias("b")))
-    blocks = prefix_sums(each, ["src"], "bucket", ["h", "id"], "size", "start")
-    blocks = blocks.withColumn("nth", F.expr(f"start div {slot}")).withColumn("at", F.expr(f"start % {slot}"))
+    sums = F.broadcast(spark.createDataFrame([(k, n, has[k]) for k, n in taken.items()], "src int, used long, slots long"))
+    along = "cast(start as decimal(19, 0)) * cast(slots as decimal(19, 0))"
+    blocks = chosen.join(sums, "src").withColumn("nth", F.expr(f"{along} div used")).withColumn("at", F.expr(f"({along} - cast(nth as decimal(19, 0)) * cast(used as decimal(19, 0))) div slots"))
     return blocks.join(slots, ["src", "nth"]).select(F.col("id").alias(id_col), "name", "repeat", F.col("size").alias("n_chars"), "slot", "at")
 
 

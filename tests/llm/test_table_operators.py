@@ -139,6 +139,26 @@ def test_mix_buckets_do_not_change_shares(spark, monkeypatch):
     assert abs(rep["A"]["actual_pct"] - 50) < 1.5
 
 
+@pytest.mark.parametrize("scale", [1, 50])
+def test_mix_shares_do_not_depend_on_size(spark, scale):
+    """With the slot of the operator itself, sources of 1 % and a document longer than its source's target."""
+    rng = random.Random(8)
+    docs = [(i, rng.choice("abcd"), rng.randrange(20, 900)) for i in range(40 * scale)] + [(10**6, "e", 20_000)] + [(10**6 + i, "e", 31) for i in range(1, 30 * scale)]
+    total = sum(x[2] for x in docs)
+    specs = [("a", 90, 9), ("b", 5, 2), ("c", 1, 2), ("d", 1, 2), ("e", 2, 2), ("f", 1, 3)]
+    d, s = spark.createDataFrame(docs, "doc_id long, source string, n_chars long"), spark.createDataFrame(specs, "name string, pct int, max_repeat int")
+    uses = mixing.mix_schedule(d, s).collect()
+    used = {(u["doc_id"], u["repeat"]) for u in uses}
+    assert len(uses) == len(used) == len({(u["slot"], u["at"]) for u in uses})
+    for name, pct, most in specs:
+        got, target = sum(u["n_chars"] for u in uses if u["name"] == name), total * pct / 100
+        left = [x[2] for x in docs if x[1] == name for r in range(1, most + 1) if (x[0], r) not in used]
+        # no further use would bring the source nearer to its target
+        assert all(abs(got + x - target) >= abs(got - target) for x in left)
+        assert not left or scale == 1 or abs(got - target) < 0.01 * target
+        assert bool(left) or got <= target + max(x[2] for x in docs) / 2
+
+
 def test_mix_of_nothing(spark):
     _, _, d, s = mix_fixture(spark, 5)
     assert mixing.mix_schedule(d.limit(0), s).count() == 0 and mixing.mix_report(d.limit(0), s).count() == 4
