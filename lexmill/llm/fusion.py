@@ -57,7 +57,7 @@ def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", s
     """(group, item, fused): one value a candidate.
 
     Most queries are ranked by window functions that share one shuffle by query; queries above `split_rows` go
-    another way in which no task holds a whole query.
+    another way in which no task holds a whole query. Rows without a group are one group, rows without an item one item.
     """
     scores = scores or DEFAULT_SCORES
     names = list(scores)
@@ -65,6 +65,8 @@ def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", s
     vals = [f"s{k}" for k in range(len(names))]
     sizes = base.groupBy("g").agg(F.count("*").alias("n"))
     hot = [r[0] for r in sizes.filter(F.col("n") > split_rows).select("g").collect()]  # at most rows / split_rows
+    # null equals nothing, so the group of null is told by a test of its own
+    is_hot = F.coalesce(F.col("g").isin([x for x in hot if x is not None]), F.lit(False)) | (F.col("g").isNull() & F.lit(None in hot))
     weights = [scores[n][0] for n in names]
 
     def fuse(d: DataFrame, p: list[Column]) -> DataFrame:
@@ -83,20 +85,22 @@ def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", s
         return fuse(d, [F.col(f"p{v}") for v in vals])
 
     def scattered(d: DataFrame) -> DataFrame:
-        d = d.groupBy("g", "i").agg(*[F.max(v).alias(v) for v in vals])
-        long = d.select("g", "i", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in range(len(vals))]), F.array(*vals))).alias("k", "v")).filter("v is not null")
-        ranks = scattered_ranks(long.select("g", "k", "v"), ["g", "k"], "v")
+        # the joins below lose null keys, so a null has a stand-in: no other value is written without the leading sign
+        named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"{c}k") for c in ("g", "i")]
+        d = d.groupBy("g", "i").agg(*[F.max(v).alias(v) for v in vals]).select("*", *named)
+        long = d.select("gk", "ik", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in range(len(vals))]), F.array(*vals))).alias("k", "v")).filter("v is not null")
+        ranks = scattered_ranks(long.select("gk", "k", "v"), ["gk", "k"], "v")
         # a value that many candidates share is one row of `ranks`: it is joined to its candidates in `parts` shares
         parts = 16
-        salted = long.withColumn("z", F.pmod(F.xxhash64("i"), F.lit(parts)))
+        salted = long.withColumn("z", F.pmod(F.xxhash64("ik"), F.lit(parts)))
         ranks = ranks.withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        p = salted.join(ranks, ["g", "k", "v", "z"]).withColumn("p", (F.col("n_below") + F.col("n_same") * 0.5) / F.col("n_all"))
-        wide = p.groupBy("g", "i").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{v}") for k, v in enumerate(vals)])
-        return fuse(d.select("g", "i").join(wide, ["g", "i"], "left"), [F.col(f"p{v}") for v in vals])
+        p = salted.join(ranks, ["gk", "k", "v", "z"]).withColumn("p", (F.col("n_below") + F.col("n_same") * 0.5) / F.col("n_all"))
+        wide = p.groupBy("gk", "ik").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{v}") for k, v in enumerate(vals)])
+        return fuse(d.select("g", "i", "gk", "ik").join(wide, ["gk", "ik"], "left"), [F.col(f"p{v}") for v in vals])
 
     if not hot:
         return windowed(base)
-    return windowed(base.filter(~F.col("g").isin(hot) | F.col("g").isNull())).unionByName(scattered(base.filter(F.col("g").isin(hot))))
+    return windowed(base.filter(~is_hot)).unionByName(scattered(base.filter(is_hot)))
 
 
 def first_of_each(fused: DataFrame, group_col: str = "qid", item_col: str = "pos") -> DataFrame:

@@ -103,6 +103,19 @@ def test_fusion_equals_brute_force_both_ways(spark):
     assert fusion.fused_scores(df.limit(0)).count() == 0
 
 
+def test_fusion_of_a_large_group_without_a_key(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, None, 1, 2]), rng.choice([None, *range(60)]), rng.random(), rng.random(), None, rng.random()) for _ in range(150)]
+    rows = list({r[:2]: r for r in rows}.values())
+    names = list(fusion.DEFAULT_SCORES)
+    df = spark.createDataFrame(rows, "qid long, pos long, " + ", ".join(f"{n} double" for n in names))
+    want = brute_fusion(rows, fusion.DEFAULT_SCORES)
+    n = Counter(r[0] for r in rows)
+    assert n[None] > max(n[1], n[2])
+    got = {(r["qid"], r["pos"]): r["fused"] for r in fusion.fused_scores(df, split_rows=max(n[1], n[2])).collect()}
+    assert got == pytest.approx(want, abs=1e-8)
+
+
 # ---- mixing ----
 
 
