@@ -1,10 +1,15 @@
 """Replies: the best lines that fit a budget of tokens.
 
-Packing is a fold over a question's lines in rank order, run inside the JVM; only lines that could be examined enter it.
+Packing is a fold over a question's lines in rank order. The lines stream through it, sorted by question and rank, so it
+reads as many ranks as it takes and holds the lines kept of one question.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,42 +20,57 @@ LOW = "Low confidence: these lines may not answer the question. If none of them
 WHOLE = "All of the indexed text fits here ({docs} document{s}):"
 NONE = "Nothing in the indexed documents matches this question."
 SKIPS = 32
-STATE = "named_struct('chars', cast(0 as bigint), 'skips', 0, 'kept', cast(array() as array<int>), 'seen', cast(array() as array<string>))"
+#: rows that are decoded at once while a question's fold goes on
+STEP = 256
 
 
-def fold(lines: Column, head_chars: Column, budget: Column) -> Column:
-    """Places of the lines kept. lines: array<struct<place, text, width>> in rank order.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows kept. Rows come by question, in rank order: qid, pos, text, line, width, head, budget.
 
     A line is kept if all lines so far, joined by newlines after the head, stay within the budget; a text already kept
     is passed over; a line that does not fit is skipped, and after 32 skips in a row the fold keeps no more.
     """
-
-    def step(a: Column, x: Column) -> Column:
-        chars = a["chars"] + x["width"] + 1
-        stop = a["skips"] >= SKIPS
-        known = F.array_contains(a["seen"], x["text"])
-        fits = F.greatest(F.lit(1).cast("bigint"), F.floor((head_chars + chars) / 4).cast("bigint")) <= budget
-        return F.when(stop | known, a).when(~fits, F.struct(a["chars"].alias("chars"), (a["skips"] + 1).alias("skips"), a["kept"].alias("kept"), a["seen"].alias("seen"))).otherwise(F.struct(chars.alias("chars"), F.lit(0).alias("skips"), F.concat(a["kept"], F.array(x["place"])).alias("kept"), F.concat(a["seen"], F.array(x["text"])).alias("seen")))
-
-    return F.aggregate(lines, F.expr(STATE), step, lambda a: a["kept"])
-
-
-def packed(scores: DataFrame, questions: DataFrame, sentences: DataFrame, default_budget: int = 600, line: Column | None = None, head: Column | None = None, most: int = 4_000) -> DataFrame:
+    now, chars, skips, kept, seen = None, 0, 0, 0, set()
+    for batch in batches:
+        qid, width, head, budget = (batch[c].to_numpy(zero_copy_only=False) for c in ("qid", "width", "head", "budget"))
+        texts, picks, numbers = batch["text"], [], []
+        bounds = [0, *(np.flatnonzero(qid[1:] != qid[:-1]) + 1), len(qid)] if len(qid) else []
+        for a, b in zip(bounds, bounds[1:]):
+            if kept == skips == 0 or qid[a] != now:
+                now, chars, skips, kept, seen = qid[a], 0, 0, 0, set()
+            for at in range(a, b, STEP):
+                if skips >= SKIPS:
+                    break
+                for i, text in enumerate(texts.slice(at, min(STEP, b - at)).to_pylist(), at):
+                    if text in seen:
+                        continue
+                    longer = chars + int(width[i]) + 1
+                    if max(1, (int(head[i]) + longer) // 4) > budget[i]:
+                        skips += 1
+                        if skips >= SKIPS:
+                            break
+                        continue
+                    chars, skips, kept = longer, 0, kept + 1
+                    seen.add(text)
+                    picks.append(i)
+                    numbers.append(kept)
+        out = batch.take(pa.array(picks, pa.int64()))
+        yield pa.RecordBatch.from_arrays([out["qid"], pa.array(numbers, pa.int32()), out["pos"], out["line"]], ["qid", "line_no", "pos", "line"])
+
+
+def packed(scores: DataFrame, questions: DataFrame, sentences: DataFrame, default_budget: int = 600, line: Column | None = None, head: Column | None = None) -> DataFrame:
     """(qid, line_no, pos, line): what each reply holds below its head.
 
-    scores (qid, pos, score); questions (qid, budget); sentences (pos, source, text, shown). Shorter lines than 4
-    characters do not occur, so no more than budget + 32 x budget ranks can matter; `most` bounds the ranks read.
+    scores (qid, pos, score); questions (qid, budget); sentences (pos, source, text, shown). Copies of a text already
+    kept do not count as skips, so no number of ranks is enough for every question: all are offered to the fold.
     """
     line = line if line is not None else T.compact_line(F.col("source"), F.col("text"), F.coalesce(F.col("shown"), F.lit("")))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pos")
-    r = scores.filter("score > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
-    d = r.join(sentences.select("pos", "source", "text", "shown"), "pos").withColumn("line", line)
-    per = d.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", "text", F.length("line").cast("bigint").alias("width"), "pos", "line"))).alias("all"))
     q = questions.select("qid", F.coalesce("budget", F.lit(default_budget)).cast("bigint").alias("budget"), (F.length(head) if head is not None else F.lit(len(HEAD))).cast("bigint").alias("head"))
-    kept = per.join(q, "qid").withColumn("kept", fold(F.transform("all", lambda x: F.struct(x["place"].alias("place"), x["text"].alias("text"), x["width"].alias("width"))), F.col("head"), F.col("budget")))
-    out = kept.select("qid", "all", F.posexplode("kept").alias("line_no", "place"))
-    hit = F.element_at("all", F.col("place"))
-    return out.select("qid", (F.col("line_no") + 1).alias("line_no"), hit["pos"].alias("pos"), hit["line"].alias("line"))
+    d = scores.filter("score > 0").join(sentences.select("pos", "source", "text", "shown"), "pos").join(q, "qid").withColumn("line", line)
+    d = d.select("qid", "pos", "score", "text", "line", F.length("line").cast("bigint").alias("width"), "head", "budget").filter("line is not null")
+    kinds = {c: d.schema[c].dataType.simpleString() for c in ("qid", "pos")}
+    ordered = d.repartition("qid").sortWithinPartitions("qid", F.col("score").desc(), "pos").drop("score")
+    return ordered.mapInArrow(_fold, f"qid {kinds['qid']}, line_no int, pos {kinds['pos']}, line string")
 
 
 def grouped_code(packed_lines: DataFrame, sentences: DataFrame) -> DataFrame:

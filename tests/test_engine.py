@@ -72,6 +72,18 @@ def test_packing_equals_a_greedy_loop(spark):
         assert got[q] == pack_by_hand([(i, sents[i][2], len(f"[f.md] {sents[i][2]}")) for i in order], len(reply.HEAD), budget or 600)
 
 
+def test_packing_reads_as_many_ranks_as_it_takes(spark):
+    """One text in 4,500 copies stands before the others: the copies are passed over, the rest fills the budget."""
+    sents = [(i, "f.md", "the same line" if i < 4500 else "x" * (20 + i % 50) + str(i), "") for i in range(4600)]
+    s = spark.createDataFrame(sents, "pos long, source string, text string, shown string")
+    scores = spark.createDataFrame([(q, i, 5000.0 - i) for q in (1, 2) for i in range(4600)], "qid long, pos long, score double")
+    got = {}
+    for r in reply.packed(scores, spark.createDataFrame([(1, 600), (2, 4000)], "qid long, budget int"), s).orderBy("qid", "line_no").collect():
+        got.setdefault(r["qid"], []).append(r["pos"])
+    for q, budget in ((1, 600), (2, 4000)):
+        assert got[q] == pack_by_hand([(i, x[2], len(f"[f.md] {x[2]}")) for i, x in enumerate(sents)], len(reply.HEAD), budget) and len(got[q]) > 20
+
+
 def test_section_paths():
     t = "# T\n## A\nx\n```\n# no\n```\n### B\ny\n## C\nz"
     assert corpus.section_paths_of(t, [t.index(c) for c in "xyz"]) == ["A", "A › B", "C"]
