@@ -34,17 +34,28 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(df: DataFrame, by: str, most: int) -> DataFrame:
+    """Different values of `by` with the least hashes, at most `most` rows: a sample that depends on nothing but the values."""
+    n = df.count()
+    if n > most:
+        df = df.filter(F.pmod(F.xxhash64(by), F.lit(10**9)) < -(-most * 11 * 10**8 // n))
+    return df.dropDuplicates([by]).orderBy(F.xxhash64(by), by).limit(most)
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only where none is named (tests) a folder of our own."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    """Use the shared folder the cluster names. Where none is named a local session (tests) gets a folder of its own;
+    a cluster gets an error, as executors cannot read each other's local folders."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="lexmill-ckpt-")
-    spark.sparkContext.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def _splitter(spark: SparkSession, d: str) -> sentences.Model:
     delivered = _read(spark, d, "sentences").filter("is_prose")
-    return sentences.train(sentences.training_units(_read(spark, d, "lang_refs"), delivered), short=sentences.abbreviations(delivered))
+    return sentences.splitter(_read(spark, d, "lang_refs"), delivered, _read(spark, d, "documents"))
 
 
 def _tagged(df: DataFrame, tab: str, id_col: str) -> DataFrame:
