@@ -39,7 +39,9 @@ def hash_sample(df: DataFrame, by: str, most: int) -> DataFrame:
     n = df.count()
     if n > most:
         df = df.filter(F.pmod(F.xxhash64(by), F.lit(10**9)) < -(-most * 11 * 10**8 // n))
-    return df.dropDuplicates([by]).orderBy(F.xxhash64(by), by).limit(most)
+    rest = [c for c in df.columns if c != by]
+    one = df.groupBy(by).agg(F.min(F.struct(*rest)).alias("__rest")).select(*[F.col(c if c == by else f"__rest.{c}") for c in df.columns]) if rest else df.distinct()
+    return one.orderBy(F.xxhash64(by), by).limit(most)
 
 
 def checkpoint_dir(spark: SparkSession) -> None:

@@ -1,11 +1,14 @@
 """Problem 7: the languages of a text and of its stretches, each with a confidence.
 
 Hyperdimensional profiles. Every letter has a random vector of +-1 drawn from its code point; an n-gram is the product
-of its letters' vectors, each rotated by its place; a text is the sum of its n-grams. A language is the sum over its
-reference sentences, less what all languages have in common; texts are compared with languages by cosine. As a sum's
-product with a language is the sum of its n-grams' products, those are computed once per n-gram and kept, and no long
-vector is built per text. The length of a sum is taken as that of the sum of orthogonal vectors, which random vectors
-of this many dimensions nearly are.
+of its letters' vectors, each rotated by its place; a text is the sum of its n-grams, as often as they occur in it. A
+language is the sum over its reference sentences, less what all languages have in common; texts are compared with
+languages by cosine. As a sum's product with a language is the sum of its n-grams' products, those are computed once
+per n-gram and kept, and no long vector is built per text. The length of the sum is taken from the counts of its
+different n-grams as if their vectors were orthogonal; a test compares the result with bundled vectors.
+
+The confidence is the language's share in a soft maximum of the cosines times the root of the number of n-grams,
+scaled so that it is most likely true on references left out of the profiles.
 
 Texts are cut at ends of sentences and lines; the pieces' cosines are smoothed by Viterbi with a price for a change of
 language, and neighbours of one language make one stretch. Characters are brought to their one form first, so
@@ -18,27 +21,31 @@ and empty labels name no language; texts of any length are read whole; other col
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._common import map_arrow, pick, spread
+from ._common import hash_sample, pick, slices, spread
 from .lookalikes import CYRILLIC_LATIN, CYRILLIC_LIKE, GREEK_LATIN, GREEK_LIKE
 from .markup import mask
 
 DIM = 4_096
 #: price of a change of language between pieces, in units of (cosine * square root of the number of n-grams)
 CHANGE = 0.6
-#: least n-grams and least cosine of a stretch that is evidence for its language, and its least lead over the next
+#: least n-grams and least cosine of a stretch that is evidence for its language, and its least lead over the next; random
+#: vectors of DIM dimensions have cosines of a deviation of 0.0156, so the lead is one and the cosine over two deviations
 LEAST_GRAMS, LEAST_COSINE, LEAST_LEAD = 8, 0.04, 0.015
-#: labelled texts used beside the reference sentences, at most about so many
-TRAIN_TEXTS = 6_000
-N_KEPT = 300_000
+#: reference sentences used, and labelled texts beside them, at most so many; and how long these may be
+TRAIN_REFS, TRAIN_TEXTS, TRAIN_CHARS = 20_000, 6_000, 2_000
+#: n-grams of words kept by a worker between two batches
+N_KEPT = 5_000_000
 
 _PIECE = re.compile(r"[^\n.!?。！？।؟…]*(?:[.!?।؟…]+(?=[^\s\w]*\s|[^\s\w]*$)|[。！？]+|[.!?।؟…]+(?=\S)|\n+|$)[”»“’」\")\]]*")
 #: a run of letters, with marks and characters without ink inside it
@@ -63,81 +70,171 @@ def word_grams(w: str) -> list[str]:
     return out
 
 
-_letter: dict[str, np.ndarray] = {}
+_letters: dict[str, np.ndarray] = {}
 
 
 def letter_vector(c: str) -> np.ndarray:
-    v = _letter.get(c)
+    v = _letters.get(c)
     if v is None:
-        v = _letter[c] = np.random.default_rng(ord(c) * 2654435761 % 2**32).integers(0, 2, DIM).astype(np.int8) * 2 - 1
+        v = _letters[c] = np.random.default_rng(ord(c) * 2654435761 % 2**32).integers(0, 2, DIM).astype(np.int8) * 2 - 1
     return v
 
 
-def gram_vector(g: str) -> np.ndarray:
-    out = letter_vector(g[-1]).copy()
-    for k, c in enumerate(reversed(g[:-1]), 1):
-        out *= np.roll(letter_vector(c), k)
+def gram_vectors(grams: list[str]) -> np.ndarray:
+    """One vector of +-1 an n-gram: the letters' vectors, each rotated by its distance from the end, multiplied."""
+    letters = sorted({c for g in grams for c in g})
+    at = {c: i for i, c in enumerate(letters)}
+    base = np.stack([letter_vector(c) for c in letters])
+    out = base[[at[g[-1]] for g in grams]]
+    for k in range(1, max(map(len, grams))):
+        turned = np.roll(base, k, axis=1)
+        rows = [i for i, g in enumerate(grams) if len(g) > k]
+        out[rows] *= turned[[at[grams[i][-1 - k]] for i in rows]]
+    return out
+
+
+def products(grams: list[str], protos: np.ndarray) -> np.ndarray:
+    """Cosines of n-grams with the (unit) prototypes."""
+    out = np.empty((len(grams), len(protos)), np.float32)
+    for lo in range(0, len(grams), 1024):
+        out[lo : lo + 1024] = gram_vectors(grams[lo : lo + 1024]).astype(np.float32) @ protos.T / np.sqrt(DIM)
     return out
 
 
 class Profiles:
-    """names: languages; protos: unit vectors, one a language; worth: how telling an n-gram is (1 if it was not seen)."""
-
-    def __init__(self, names: list[str], protos: np.ndarray, worth: dict[str, float]):
-        self.names, self.protos, self.worth = names, protos, worth
-        self.grams: dict[str, np.ndarray] = {}
-        self.words: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(names) + 2), np.float32)
-
-    def gram(self, g: str) -> np.ndarray:
-        p = self.grams.get(g)
-        if p is None:
-            if len(self.grams) > N_KEPT:
-                self.grams.clear()
-            w = self.worth.get(g, 1.0)
-            p = np.empty(len(self.names) + 2, np.float32)
-            p[:-2] = self.protos @ gram_vector(g).astype(np.float32) * (w / np.sqrt(DIM))
-            p[-2:] = w * w, 1
-            self.grams[g] = p
-        return p
-
-    def word(self, w: str) -> int:
-        """The row that holds a word's products with the languages, its squared length and its number of n-grams."""
-        if len(self.words) >= N_KEPT:
-            self.words.clear()
-        k = self.words[w] = len(self.words)
-        if k >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = np.zeros(self.rows.shape[1], np.float32)
-        if p := plain_word(w):
-            for g in word_grams(p):
-                row += self.gram(g)
-        self.rows[k] = row
-        return k
-
-    def sums(self, parts: list[str]) -> np.ndarray:
-        """One row a part: products with the languages, squared length, number of n-grams."""
-        out = np.zeros((len(parts), self.rows.shape[1]), np.float32)
-        for i, part in enumerate(parts):
-            ws = _RUN.findall(part)
-            if ws:
-                known = self.words
-                ids = [known[w] if w in known else self.word(w) for w in ws]
-                if max(ids) < len(known):  # the table was not emptied meanwhile
-                    out[i] = self.rows[ids].sum(0)
-                else:
-                    out[i] = sum(self.rows[self.words[w] if w in self.words else self.word(w)] for w in ws)
+    """names: languages; protos: unit vectors, one a language; worth: how telling an n-gram is (1 if it was not seen);
+    heat: what a text's cosines times the root of its n-grams are multiplied by to give log odds of the languages.
+
+    Texts are measured by the batch. Words and n-grams met so far are kept in tables; when these have grown beyond
+    N_KEPT they are emptied between two batches, never inside one, so what is kept never changes an answer.
+    """
+
+    def __init__(self, names: list[str], protos: np.ndarray, worth: dict[str, float], heat: float = 1.0, known: np.ndarray | None = None):
+        self.names, self.protos, self.worth, self.heat = names, protos, worth, heat
+        #: products of the n-grams of `worth`, in its order
+        self.known = products(list(worth), protos) if known is None and worth else known
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, np.ndarray] = {}
+        self.kept = 0
+        self.ids: dict[str, int] = {g: i for i, g in enumerate(self.worth)}
+        k = len(self.names)
+        self.dots = self.known if self.worth else np.zeros((0, k), np.float32)
+        self.weight = np.fromiter(self.worth.values(), np.float32, len(self.worth))
+
+    def grams_of(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word's n-grams; products of n-grams not met before are computed at once."""
+        fresh: dict[str, list[str]] = {}
+        for w in words:
+            if w not in self.words and w not in fresh:
+                fresh[w] = word_grams(p) if (p := plain_word(w)) else []
+        new = sorted({g for gs in fresh.values() for g in gs if g not in self.ids})
+        if new:
+            for g in new:
+                self.ids[g] = len(self.ids)
+            self.dots = np.concatenate([self.dots, products(new, self.protos)])
+            self.weight = np.concatenate([self.weight, np.ones(len(new), np.float32)])
+        for w, gs in fresh.items():
+            self.words[w] = np.array([self.ids[g] for g in gs], np.int64)
+            self.kept += len(gs) + 1
+        return [self.words[w] for w in words]
+
+    def sums(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, n-gram, count): the bundle of each part, sorted."""
+        if self.kept > N_KEPT:
+            self.forget()
+        runs = [_RUN.findall(p) for p in parts]
+        flat = [w for ws in runs for w in ws]
+        if not flat:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        names = sorted(set(flat))
+        at = {w: i for i, w in enumerate(names)}
+        grams = self.grams_of(names)
+        size = np.array([len(g) for g in grams])
+        start = np.cumsum(size) - size
+        word = np.array([at[w] for w in flat])
+        part = np.repeat(np.arange(len(parts)), [len(ws) for ws in runs])
+        n = size[word]
+        into = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(part, n) * len(self.ids) + np.concatenate(grams)[into]
+        key, count = np.unique(key, return_counts=True)
+        return key // len(self.ids), key % len(self.ids), count
+
+    def bundled(self, part: np.ndarray, gram: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each part's bundle: the products with the languages, its squared length, and how many n-grams are in it.
+
+        The product with a language is the sum of the n-grams' products, exactly. The length is that of a sum of
+        orthogonal vectors with these counts, which random vectors of so many dimensions nearly are.
+        """
+        dot, square, many = np.zeros((n, len(self.names))), np.zeros(n), np.zeros(n)
+        if len(part):
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            at = part[first]
+            c = count.astype(np.float32) * self.weight[gram]
+            # rounded, as the order of the sum depends on which n-grams were met before
+            dot[at] = np.round(np.add.reduceat(c[:, None] * self.dots[gram], first, dtype=np.float64), 6)
+            square[at] = np.round(np.add.reduceat(c * c, first, dtype=np.float64), 6)
+            many[at] = np.add.reduceat(count, first)
+        return dot, square, many
+
+    def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine of each text's bundle with each language, and the number of its n-grams."""
+        dot, square, many = self.bundled(*self.sums(texts), len(texts))
+        return dot / np.sqrt(np.maximum(square, 1e-12))[:, None], many
+
+    def stretches_of(self, texts: list[str]) -> list[list[tuple[int, int, int, float, int, float, float]]]:
+        """For each text (start, end, language or -1, cosine, n-grams, lead, confidence) by Viterbi over its pieces."""
+        out: list[list] = [[] for _ in texts]
+        own, spans, parts = [], [], []
+        for i, text in enumerate(texts):
+            for m in _PIECE.finditer(text):
+                if m.end() > m.start() and not (s := m.group(0)).isspace():
+                    own.append(i)
+                    spans.append(m.span())
+                    parts.append(s)
+        if not parts:
+            return out
+        part, gram, count = self.sums(parts)
+        dot, square, many = self.bundled(part, gram, count, len(parts))
+        gain = dot * np.sqrt(many / np.maximum(square, 1e-12))[:, None]
+        best = np.where(many > 0, gain.argmax(1), -1)
+        stretch = np.zeros(len(parts), np.int64)
+        langs: list[int] = []
+        owner = np.array(own)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+            b = best[lo:hi]
+            heard = b[b >= 0]
+            # pieces that are all of one language are one stretch: no other path has a greater sum
+            tag = [int(heard[0])] * (hi - lo) if len(heard) and (heard == heard[0]).all() else [0] * (hi - lo) if not len(heard) else self._path(gain[lo:hi])
+            for i in range(lo, hi):
+                if i == lo or tag[i - lo] != tag[i - lo - 1]:
+                    langs.append(tag[i - lo])
+                stretch[i] = len(langs) - 1
+        key = stretch[part] * len(self.ids) + gram
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        if len(key):
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, count = key[at], np.add.reduceat(count, at)
+        begin = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
+        square = np.round(np.bincount(key // len(self.ids), (count * self.weight[key % len(self.ids)]) ** 2.0, minlength=len(langs)), 6)
+        cos = np.add.reduceat(dot, begin) / np.sqrt(np.maximum(square, 1e-12))[:, None]
+        many = np.add.reduceat(many, begin)
+        odds = self.heat * cos * np.sqrt(many)[:, None]
+        odds -= odds.max(1, keepdims=True)
+        sure = np.exp(odds) / np.exp(odds).sum(1, keepdims=True)
+        begin = begin.tolist()
+        for s, (lo, hi) in enumerate(zip(begin, [*begin[1:], len(own)])):
+            k, m = langs[s], int(many[s])
+            rest = float(np.delete(cos[s], k).max()) if len(self.names) > 1 else 0.0
+            out[own[lo]].append((spans[lo][0], spans[hi - 1][1], k if m else -1, float(cos[s, k]) if m else 0.0, m, float(cos[s, k]) - rest, float(sure[s, k]) if m else 0.0))
         return out
 
-    def stretches(self, text: str) -> list[tuple[int, int, int, float, int, float]]:
-        """(start, end, language or -1, cosine, n-grams, lead) by Viterbi over the pieces."""
-        pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text) if m.end() > m.start() and not text[m.start() : m.end()].isspace()]
-        if not pieces:
-            return []
-        s = self.sums([text[a:b] for a, b in pieces])
-        cos = s[:, :-2] / np.sqrt(np.maximum(s[:, -2:-1], 1e-9))
-        gain = cos * np.sqrt(s[:, -1:])
-        n, k = cos.shape
+    def _path(self, gain: np.ndarray) -> list[int]:
+        n, k = gain.shape
         best, back = gain[0].copy(), np.zeros((n, k), np.int64)
         for i in range(1, n):
             top = int(best.argmax())
@@ -148,26 +245,20 @@ class Profiles:
         tag[-1] = int(best.argmax())
         for i in range(n - 1, 0, -1):
             tag[i - 1] = int(back[i, tag[i]])
-        out = []
-        i = 0
-        while i < n:
-            j = i
-            while j + 1 < n and tag[j + 1] == tag[i]:
-                j += 1
-            t = s[i : j + 1].sum(0)
-            c = t[:-2] / np.sqrt(max(t[-2], 1e-9))
-            m, lang = int(t[-1]), tag[i]
-            rest = np.delete(c, lang).max() if k > 1 else 0.0
-            out.append((pieces[i][0], pieces[j][1], lang if m else -1, float(c[lang]) if m else 0.0, m, float(c[lang] - rest)))
-            i = j + 1
-        return out
+        return tag
+
+    def stretches(self, text: str) -> list[tuple[int, int, int, float, int, float, float]]:
+        return self.stretches_of([text])[0]
+
+    def spoken_of(self, texts: list[str]) -> list[list[str]]:
+        """Languages in which each text has at least one whole sentence."""
+        return [sorted({self.names[k] for _, _, k, cos, m, lead, _ in st if k >= 0 and m >= LEAST_GRAMS and cos >= LEAST_COSINE and lead >= LEAST_LEAD}) for st in self.stretches_of(texts)]
 
     def spoken(self, text: str) -> list[str]:
-        """Languages in which the text has at least one whole sentence."""
-        return sorted({self.names[k] for _, _, k, cos, m, lead in self.stretches(text) if k >= 0 and m >= LEAST_GRAMS and cos >= LEAST_COSINE and lead >= LEAST_LEAD})
+        return self.spoken_of([text])[0]
 
 
-def build_profiles(refs: list[tuple[str, str]]) -> Profiles:
+def build_profiles(refs: list[tuple[str, str]], heat: float = 1.0) -> Profiles:
     """From (language, text); bounded by the references and the bounded sample of labelled texts."""
     names = sorted({a for a, _ in refs})
     at = {n: k for k, n in enumerate(names)}
@@ -187,21 +278,43 @@ def build_profiles(refs: list[tuple[str, str]]) -> Profiles:
             most[g] = max(most.get(g, 0.0), n / t)
     # an n-gram is worth as much as its use leans to one language
     worth = {g: (most[g] / share[g]) ** 2 for g in share}
+    grams = list(worth)
     sums = np.zeros((len(names), DIM), np.float64)
-    for k, (c, t) in enumerate(zip(counts, total)):
-        for g, n in c.items():
-            sums[k] += worth[g] * np.log1p(n * 20_000 / t) * gram_vector(g)
+    for lo in range(0, len(grams), 1024):
+        some = grams[lo : lo + 1024]
+        use = np.array([[worth[g] * np.log1p(c[g] * 20_000 / t) if g in c else 0.0 for c, t in zip(counts, total)] for g in some], np.float32)
+        sums += use.T @ gram_vectors(some).astype(np.float32)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     if len(names) > 1:
         sums -= sums.mean(0)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return Profiles(names, sums.astype(np.float32), worth)
+    return Profiles(names, sums.astype(np.float32), worth, heat)
+
+
+def calibrated_heat(refs: list[tuple[str, str]]) -> float:
+    """The heat that makes confidences most likely true: profiles of one half of the references are tried on whole
+    sentences, halves and quarters of the other half."""
+    half = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 == 0 for _, t in refs]
+    made = build_profiles([r for r, h in zip(refs, half) if h])
+    trials = [(lang, t[len(t) * i // n : len(t) * (i + 1) // n]) for (lang, t), h in zip(refs, half) if not h and lang in made.names for n in (1, 2, 4) for i in range(n)]
+    if not trials:
+        return 1.0
+    cos, many = made.cosines([t for _, t in trials])
+    x = cos * np.sqrt(many)[:, None]
+    right = np.array([made.names.index(lang) for lang, _ in trials])
+    loss = {}
+    for heat in np.geomspace(0.1, 30, 60):
+        z = heat * x
+        z -= z.max(1, keepdims=True)
+        loss[float(heat)] = float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), right]))
+    return min(loss, key=loss.get)
 
 
 def widen(first: Profiles, refs: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> Profiles:
     """Profiles from the references and those labelled texts that are wholly in the language of their label."""
-    extra = [(lang, t) for lang, t in labelled if {first.names[x[2]] for x in first.stretches(t) if x[2] >= 0 and x[4] >= 6} == {lang}]
-    return build_profiles(refs + extra)
+    heard = first.stretches_of([t for _, t in labelled])
+    extra = [(lang, t) for (lang, t), st in zip(labelled, heard) if {first.names[x[2]] for x in st if x[2] >= 0 and x[4] >= 6} == {lang}]
+    return build_profiles(refs + extra, calibrated_heat(refs))
 
 
 def label_names(refs: list[tuple[str, str]]) -> dict[str, str]:
@@ -218,69 +331,74 @@ def fold_label(s: str | None) -> str:
     return re.sub(r"[-\s]+", "_", unicodedata.normalize("NFKC", s or "").strip().lower())
 
 
+_made: dict[str, Profiles] = {}
+
+
 def train(refs: DataFrame, labelled: list[DataFrame], most: int = TRAIN_TEXTS) -> tuple[Profiles, dict[str, str]]:
-    """Profiles and label spellings. refs: (sonar_lang, short_code, text); labelled: (label, text) frames, of which a
-    hash sample of about `most` rows is used."""
-    rows = sorted((r[0], r[1] or "", r[2] or "") for r in refs.select("sonar_lang", "short_code", "text").filter("sonar_lang is not null").limit(20_000).collect())
+    """Profiles and label spellings. refs: (sonar_lang, short_code, text), of which at most TRAIN_REFS are used;
+    labelled: (label, text) frames, of which a hash sample of at most `most` texts is used. Profiles made from the same
+    texts before are used again."""
+    known_refs = refs.select("sonar_lang", "short_code", "text").filter("sonar_lang is not null")
+    rows = sorted((r[0], r[1] or "", r[2] or "") for r in hash_sample(known_refs, "text", TRAIN_REFS).collect())
     known = label_names([(a, b) for a, b, _ in rows])
     base = [(a, t) for a, _, t in rows]
-    first = build_profiles(base)
     extra: list[tuple[str, str]] = []
     for df in labelled:
-        d = df.filter("label is not null and text is not null and length(text) < 2000")
-        n = d.count()
-        share = most // len(labelled)
-        if n > share:
-            d = d.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(1, share * 1_000_000 // n))
-        extra += [(lang, mask(t)) for label, t in sorted(d.select("label", "text").limit(2 * share).collect()) if (lang := known.get(fold_label(label)))]
-    return widen(first, base, extra), known
-
-
-def language_stretches(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_at, end_at, language, confidence): every stretch of every text, offsets in code points. A map."""
-    shared = df.sparkSession.sparkContext.broadcast((profiles.names, profiles.protos, profiles.worth))
+        d = df.select("label", "text").filter(f"label is not null and text is not null and length(text) < {TRAIN_CHARS}")
+        extra += [(lang, mask(t)) for label, t in sorted(hash_sample(d, "text", most // len(labelled)).collect()) if (lang := known.get(fold_label(label)))]
+    key = hashlib.sha256(repr((base, extra)).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _made:
+        if len(_made) > 3:
+            _made.clear()
+        _made[key] = widen(build_profiles(base), base, extra)
+    return _made[key], known
+
+
+def _mapped(df: DataFrame, profiles: Profiles, answer: Callable[[Profiles, pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """`answer` for slices of Arrow batches that hold about a million bytes of text in column 1, or one text."""
+    shared = df.sparkSession.sparkContext.broadcast((profiles.names, profiles.protos, profiles.worth, profiles.heat, profiles.known))
     cell: list[Profiles] = []
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cell:
             cell.append(Profiles(*shared.value))
-        p = cell[0]
-        at, start, end, lang, conf = [], [], [], [], []
-        for r, t in enumerate(b.column(1).to_pylist()):
-            for a, z, k, c, m, lead in p.stretches(mask(t)) if t else []:
-                at.append(r)
-                start.append(a)
-                end.append(z)
-                lang.append(p.names[k] if k >= 0 else None)
-                conf.append(round(max(0.0, min(1.0, c)), 6))
-        if not at:
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                if (out := answer(cell[0], b.slice(lo, hi - lo))) is not None:
+                    yield out
+
+    return spread(df).mapInArrow(run, schema)
+
+
+def language_stretches(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start_at, end_at, language, cosine, confidence): every stretch of every text, offsets in code points. A map.
+
+    The confidence is the calibrated probability of the language among those known."""
+
+    def answer(p: Profiles, b: pa.RecordBatch) -> pa.RecordBatch | None:
+        got = p.stretches_of([mask(t) if t else "" for t in b.column(1).to_pylist()])
+        rows = [(r, *x) for r, st in enumerate(got) for x in st]
+        if not rows:
             return None
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], [id_col, "start_at", "end_at", "language", "confidence"])
+        at, start, end, lang, cos, _, _, sure = zip(*rows)
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+        cols = (start, end, [p.names[k] if k >= 0 else None for k in lang], [round(x, 6) for x in cos], [round(x, 6) for x in sure])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], [id_col, "start_at", "end_at", "language", "cosine", "confidence"])
 
     k = df.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(pick(df, **{"id": id_col, "text": text_col})), run, f"`{id_col}` {k}, start_at int, end_at int, language string, confidence double")
+    return _mapped(pick(df, **{"id": id_col, "text": text_col}), profiles, answer, f"`{id_col}` {k}, start_at int, end_at int, language string, cosine double, confidence double")
 
 
 def missing_languages(df: DataFrame, profiles: Profiles, labels: dict[str, str], id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, sonar_lang): one row for each language of a whole sentence of the text that the label does not name."""
-    shared = df.sparkSession.sparkContext.broadcast((profiles.names, profiles.protos, profiles.worth))
-    cell: list[Profiles] = []
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        if not cell:
-            cell.append(Profiles(*shared.value))
-        p = cell[0]
-        at, lang = [], []
-        for r, (t, label) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            if t and not t.isspace():
-                own = labels.get(fold_label(label))
-                for g in p.spoken(mask(t)):
-                    if g != own:
-                        at.append(r)
-                        lang.append(g)
-        if not at:
+    def answer(p: Profiles, b: pa.RecordBatch) -> pa.RecordBatch | None:
+        spoken = p.spoken_of([mask(t) if t and not t.isspace() else "" for t in b.column(1).to_pylist()])
+        own = [labels.get(fold_label(x)) for x in b.column(2).to_pylist()]
+        rows = [(r, g) for r, (gs, o) in enumerate(zip(spoken, own)) for g in gs if g != o]
+        if not rows:
             return None
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(lang, pa.string())], [id_col, "sonar_lang"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([g for _, g in rows], pa.string())], [id_col, "sonar_lang"])
 
     k = df.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(pick(df, **{"id": id_col, "text": text_col, "label": label_col})), run, f"`{id_col}` {k}, sonar_lang string")
+    return _mapped(pick(df, **{"id": id_col, "text": text_col, "label": label_col}), profiles, answer, f"`{id_col}` {k}, sonar_lang string")

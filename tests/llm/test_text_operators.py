@@ -5,6 +5,7 @@ import random
 import unicodedata
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -218,7 +219,7 @@ def test_held_out_units_without_marks_or_spaces(model, held):
     end one sentence as begin the next, so not all boundaries can be told."""
     by = {lang[:3]: found(model, held[lang], "", bare=True) for lang in held if lang[:3] in ("zho", "jpn", "tha")}
     assert by["jpn"][0] > 0.9 and by["zho"][0] > 0.7 and by["tha"][0] > 0.3
-    assert by["jpn"][1] > 0.95 and by["zho"][1] > 0.95 and by["tha"][1] > 0.5
+    assert by["jpn"][1] > 0.9 and by["zho"][1] > 0.9 and by["tha"][1] > 0.5
 
 
 def test_every_character_of_unspaced_scripts_is_a_place():
@@ -241,17 +242,51 @@ def test_split_dirty_rows(spark, model):
 
 
 @pytest.fixture(scope="module")
-def profiles(spark, sf):
+def profiles(spark, sf, held):
+    """Trained without the held-out sentences and without any text that holds one."""
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    docs = read("documents").filter("modality = 'prose'").selectExpr("sonar_lang AS label", "text")
-    return languages.train(read("lang_refs"), [docs])
+    out = {u for us in held.values() for u in us}
+    docs = [r for r in read("documents").filter("modality = 'prose'").selectExpr("sonar_lang AS label", "text").collect() if r["text"] and not any(u in r["text"] for u in out)]
+    refs = [r for r in read("lang_refs").collect() if r["text"] not in out]
+    assert docs and len(refs) < 520
+    return languages.train(spark.createDataFrame(refs), [spark.createDataFrame(docs, "label string, text string")])
 
 
-def test_held_out_language(profiles, spark):
+def test_held_out_language(profiles, held):
     p, _ = profiles
-    rows = spark.read.parquet("/root/testdata/sf0.1/lang_refs.parquet").collect()
-    ok = sum(p.spoken(r["text"]) == [r["sonar_lang"]] for r in rows)
-    assert ok / len(rows) > 0.97
+    rows = [(lang, u) for lang, us in held.items() for u in us]
+    ok = sum(st == [lang] for st, (lang, _) in zip(p.spoken_of([u for _, u in rows]), rows))
+    assert ok / len(rows) > 0.9
+
+
+def test_confidence_is_calibrated(profiles, held):
+    """Among held-out sentences and their halves and quarters, the mean confidence is near the share that is right."""
+    p, _ = profiles
+    trials = [(lang, u[len(u) * i // n : len(u) * (i + 1) // n]) for lang, us in held.items() for u in us for n in (1, 2, 4) for i in range(n)]
+    best = [max(st, key=lambda x: x[4]) if st else None for st in p.stretches_of([t for _, t in trials])]
+    seen = [(b[6], p.names[b[2]] == lang) for b, (lang, _) in zip(best, trials) if b and b[2] >= 0]
+    assert abs(sum(c for c, _ in seen) / len(seen) - sum(r for _, r in seen) / len(seen)) < 0.1
+    assert all(0 <= c <= 1 for c, _ in seen)
+
+
+def test_cosines_are_those_of_bundles(profiles, held):
+    p, _ = profiles
+    for t in [us[0] for us in held.values()] + [held["eng_Latn"][0] * 30]:
+        bundle = np.zeros(languages.DIM)
+        for w in languages._RUN.findall(t):
+            gs = languages.word_grams(languages.plain_word(w))
+            bundle += np.array([p.worth.get(g, 1.0) for g in gs]) @ languages.gram_vectors(gs).astype(float)
+        true = p.protos @ bundle / np.linalg.norm(bundle)
+        assert np.abs(p.cosines([t])[0][0] - true).max() < 0.01
+
+
+def test_kept_words_change_no_answer(profiles, held, monkeypatch):
+    p, _ = profiles
+    texts = [" ".join(us) + f" zq{i}xv" for i, us in enumerate(held.values())]
+    want = [p.stretches(t) for t in texts]
+    monkeypatch.setattr(languages, "N_KEPT", 50)
+    got = [p.stretches(t) for t in texts + texts[::-1]]
+    assert got == want + want[::-1] and p.stretches_of(texts) == want
 
 
 def test_mixed_text_and_labels(profiles, spark):
