@@ -151,11 +151,15 @@ def mix_schedule(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", sour
 def mix_report(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", slot: int = SLOT) -> DataFrame:
     """(name, target_pct, actual_pct, n_chars, n_uses, most_repeat, short): what the mix came to, one row a source.
 
-    short: the source stays below its target even with each document used max_repeat times (compared in integers).
+    short: the mix uses each document of the source max_repeat times and holds less of it than its target (compared in
+    integers).
     """
     spark = docs.sparkSession
     supply = source_supply(docs, specs, id_col, source_col, size_col)
-    made = mix_schedule(docs, specs, id_col, source_col, size_col, slot, supply=supply).groupBy("name").agg(F.sum("n_chars").alias("n_chars"), F.count("*").alias("n_uses"), F.max("repeat").alias("most_repeat"))
-    rows = [(s["name"], s["pct"], float(s["total"]), s["supply"] * s["max_repeat"] * 100 < s["pct"] * s["total"]) for s in supply]
-    want = spark.createDataFrame(rows, "name string, target_pct double, total double, short boolean")
-    return want.join(made, "name", "left").select("name", "target_pct", F.when(F.col("total") > 0, F.coalesce("n_chars", F.lit(0)) * 100.0 / F.col("total")).alias("actual_pct"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), F.coalesce("most_repeat", F.lit(0)).alias("most_repeat"), "short")
+    made = mix_schedule(docs, specs, id_col, source_col, size_col, slot, supply=supply).groupBy("name").agg(F.sum("n_chars").alias("made"), F.count("*").alias("uses"), F.max("repeat").alias("most"))
+    rows = [(s["name"], s["pct"], s["total"], s["n_docs"] * s["max_repeat"]) for s in supply]
+    want = spark.createDataFrame(rows, "name string, target_pct double, total long, all_uses long")
+    n, uses = F.coalesce("made", F.lit(0)), F.coalesce("uses", F.lit(0))
+    short = (uses == F.col("all_uses")) & (n * 100 < F.col("target_pct") * F.col("total"))
+    actual = F.when(F.col("total") > 0, n * 100.0 / F.col("total"))
+    return want.join(made, "name", "left").select("name", "target_pct", actual.alias("actual_pct"), n.alias("n_chars"), uses.alias("n_uses"), F.coalesce("most", F.lit(0)).alias("most_repeat"), short.alias("short"))

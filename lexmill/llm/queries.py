@@ -56,7 +56,8 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     # each heading path is read once, however many sentences stand below it
     paths = _read(spark, d, "sentences").filter("section is not null").select("section").distinct()
     cleaned = markup.clean_texts(paths.withColumn("path", F.col("section")), "section", "path", " \u203a ")
-    sents = _read(spark, d, "sentences").select("pos", "section").distinct().join(cleaned, "section").drop("section")
+    sents = _read(spark, d, "sentences").select("pos", "section").distinct().join(cleaned, "section", "left").drop("section")
+    sents = sents.withColumns({c: F.coalesce(c, F.array().cast(sents.schema[c].dataType)) for c in ("blocks", "notations")})
     return _tagged(markup.clean_texts(docs), "documents", "doc_id").unionByName(_tagged(sents, "sentences", "pos"))
 
 
@@ -124,7 +125,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_texts(_read(spark, d, "documents")).filter("piece = 1").select("doc_id")
+    return packing.split_items(packing.pack_texts(_read(spark, d, "documents")))
 
 
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -252,12 +252,33 @@ def test_plan_uses_every_item_once(seed):
     load = Counter()
     for k, runs in plan.runs.items():
         assert sum(hi - lo for lo, hi, *_ in runs) == hist[k] and sorted(runs)[0][0] == 0
-        for lo, hi, first, each in runs:
+        for lo, hi, first, each, _ in runs:
             for r in range(hi - lo):
                 load[first + r // each] += k
     assert max(load.values()) <= 2048 and len(load) == plan.n_containers
     if seed:
         assert sum(sizes) / (2048 * plan.n_containers) > 0.97
+        full = hist[2048]
+        assert plan.fitted / (plan.n_containers - full) > 0.9 and packing.make_plan(hist, rounds=0).fitted == 0
+
+
+def test_nonnegative_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a = rng.integers(0, 3, (12, 30)).astype(float)
+        x = np.where(rng.random(12) < 0.5, rng.random(12) * 9, 0)
+        h = a.T @ x + rng.normal(size=30)
+        got = packing.nonnegative_fit(a, h)
+        slope = a @ (a.T @ got - h)
+        assert (got >= 0).all() and (slope > -1e-4).all() and np.abs(slope[got > 1e-6]).max() < 1e-4
+
+
+def test_fill_says_how(spark):
+    df = spark.createDataFrame([(i, 2048 if i < 3 else 5000 if i == 3 else 100 + i % 300) for i in range(4000)], "doc_id long, n_ids int")
+    packed = packing.pack_lengths(df)
+    r = packing.fill_report(packed).first()
+    assert r["n_whole"] + r["n_fitted"] + r["n_rest"] == r["n_containers"] and r["n_fitted"] > 0.9 * (r["n_containers"] - r["n_whole"])
+    assert [x[0] for x in packing.split_items(packed).collect()] == [3]
 
 
 def test_pack_lengths(spark, monkeypatch):
