@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.shared import cut
 
 DIVIDER = "~ class-only, verify with provenance:"
 #: Words never taken for entities of a summary.
@@ -136,9 +137,12 @@ def facts(root: str, edges: DataFrame, hops: int = 1, limit: int = 25) -> DataFr
 
 
 def provenance(ids: DataFrame, edges: DataFrame, sentences: DataFrame, next_id: int | None = None) -> DataFrame:
-    """(id, status, s, r, o, source, sent_idx, text): where each fact was read; an id is known, retired or unknown."""
+    """(id, status, s, r, o, source, sent_idx, text): where each fact was read; an id is known, retired or unknown.
+
+    next_id: the id the next fact would get; where it is not given, the one after the greatest id there is."""
     if next_id is None:
-        next_id = (edges.agg(F.max("id")).first()[0] or -1) + 1
+        top = edges.agg(F.max("id")).first()[0]
+        next_id = 0 if top is None else top + 1
     e = ids.select("id").distinct().join(edges, "id", "left")
     status = F.when(F.col("s").isNotNull(), "known").when((F.col("id") >= 0) & (F.col("id") < next_id), "retired").otherwise("unknown")
     return e.join(sentences.select("source", "sent_idx", "text"), ["source", "sent_idx"], "left").select("id", status.alias("status"), "s", "r", "o", "source", "sent_idx", "text")
@@ -191,29 +195,29 @@ def strength(weights: DataFrame, member: DataFrame, top: int = 8) -> DataFrame:
     return s.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("community", "entity", "strength", "place")
 
 
-def communities(weights: DataFrame, rounds: int = 12) -> DataFrame:
-    """(entity, community) by synchronous label propagation over the weights, from the least name; deterministic.
+def communities(weights: DataFrame, rounds: int = 200) -> DataFrame:
+    """(entity, community) by label propagation over the weights, from the least name; deterministic.
 
-    Each round is one join and one aggregation over the edges; the lineage is cut by a reliable checkpoint.
+    Each round is one join and one aggregation over the edges; the lineage is cut by a reliable checkpoint. A label
+    changes only for one with more weight, and in each round only those of one half of the names (by hash, another
+    half each time) change, so neighbours do not swap labels for ever. Not settled after `rounds` is an error.
     """
-    spark = weights.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
-    arcs = weights.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionByName(weights.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")).checkpoint()
+    arcs = cut(weights.select(F.col("u").alias("a"), F.col("v").alias("b"), "weight").unionByName(weights.select(F.col("v").alias("a"), F.col("u").alias("b"), "weight")))
     label = arcs.select("a").distinct().select("a", F.col("a").alias("label"))
-    for _ in range(rounds):
-        votes = arcs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        own = label.withColumn("w", F.lit(1e-9))  # its own label breaks ties of nothing else
-        votes = votes.unionByName(own).groupBy("a", "label").agg(F.round(F.sum("w"), 6).alias("w"))
-        new = votes.groupBy("a").agg(F.max("w").alias("top")).join(votes, "a").filter("w = top").groupBy("a").agg(F.min("label").alias("label")).checkpoint()
-        moved = new.join(label.withColumnRenamed("label", "old"), "a").filter("label <> old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    return label.toDF("entity", "community")
+    still = 0
+    for k in range(rounds):
+        votes = arcs.join(label.withColumnRenamed("a", "b"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("lost"), F.col("label"))).alias("best"))
+        own = votes.join(label.withColumnRenamed("label", "own"), "a").filter("label = own").select("a", F.col("w").alias("kept"))
+        now = label.join(best, "a").join(own, "a", "left")
+        better = (-F.col("best.lost") > F.coalesce("kept", F.lit(0.0))) & (F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2)
+        now = cut(now.select("a", F.when(better, F.col("best.label")).otherwise(F.col("label")).alias("label"), better.alias("moved")))
+        moved = now.filter("moved").limit(1).count()
+        label = now.select("a", "label")
+        still = 0 if moved else still + 1
+        if still == 2:  # both halves stay
+            return label.toDF("entity", "community")
+    raise RuntimeError(f"communities are not settled after {rounds} rounds")
 
 
 def evidence(triples: DataFrame, weights: DataFrame, member: DataFrame, edges_each: int = 12, quotes_each: int = 6) -> DataFrame:
@@ -237,11 +241,14 @@ def grounding(summaries: DataFrame, member: DataFrame, known: DataFrame) -> Data
 
     summaries (community, summary, evidence); member (entity, community); known (entity).
     """
-    w = summaries.select("community", F.lower("evidence").alias("ev"), F.posexplode(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{3,}"), F.lit(0))).alias("at", "word")).filter(~F.col("word").isin(*GROUNDING_STOP)).withColumn("stem", F.regexp_replace("word", "s+$", ""))
-    k = known.select(F.col("entity").alias("k")).distinct()
-    m = w.join(k, (F.col("k") == F.col("word")) | (F.col("k") == F.col("stem")), "left_semi")
-    own = member.select("community", F.lower("entity").alias("e")).distinct()
-    ok = m.join(own, "community", "left").groupBy("community", "at", "word", "ev").agg(F.max(F.coalesce((F.col("e") == F.col("word")) | (F.col("e") == F.col("stem")), F.lit(False))).alias("inside")).withColumn("ok", F.col("inside") | F.contains("ev", F.col("word")))
+    w = summaries.select("community", F.lower("evidence").alias("ev"), F.posexplode(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{3,}"), F.lit(0))).alias("at", "word")).filter(~F.col("word").isin(*GROUNDING_STOP))
+    # a word stands for itself and for itself without its final s: both forms are joined by equality
+    forms = w.withColumn("form", F.explode(F.array_distinct(F.array("word", F.regexp_replace("word", "s+$", "")))))
+    k = known.select(F.col("entity").alias("form")).distinct()
+    m = w.join(forms.join(k, "form", "left_semi").select("community", "at").distinct(), ["community", "at"], "left_semi")
+    own = member.select("community", F.lower("entity").alias("form")).distinct()
+    inside = forms.join(own, ["community", "form"], "left_semi").select("community", "at").distinct().withColumn("inside", F.lit(True))
+    ok = m.join(inside, ["community", "at"], "left").withColumn("ok", F.coalesce("inside", F.lit(False)) | F.contains("ev", F.col("word")))
     share = ok.groupBy("community").agg(F.avg(F.col("ok").cast("double")).alias("grounding"))
     return summaries.select("community").join(share, "community", "left").fillna(1.0, ["grounding"])
 

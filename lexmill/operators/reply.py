@@ -14,37 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.graph import DIVIDER
 
 HEAD = "From the indexed documents, best match first:"
 LOW = "Low confidence: these lines may not answer the question. If none of them states the answer, reply that the documents do not say."
 WHOLE = "All of the indexed text fits here ({docs} document{s}):"
 NONE = "Nothing in the indexed documents matches this question."
 SKIPS = 32
+#: part of a budget that facts may take
+FACT_SHARE = 0.4
 #: rows that are decoded at once while a question's fold goes on
 STEP = 256
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows kept. Rows come by question, in rank order: qid, pos, text, line, width, head, budget.
+    """The rows kept. Rows come by question, in rank order: qid, pos, text, line, width, file, name, head, budget.
 
     A line is kept if all lines so far, joined by newlines after the head, stay within the budget; a text already kept
-    is passed over; a line that does not fit is skipped, and after 32 skips in a row the fold keeps no more.
+    is passed over; a line that does not fit is skipped, and after 32 skips in a row the fold keeps no more. The first
+    line of a code file also costs the file's name (`name` characters; 0 for lines that stand alone).
     """
-    now, chars, skips, kept, seen = None, 0, 0, 0, set()
+    now, chars, skips, kept, seen, files = None, 0, 0, 0, set(), set()
     for batch in batches:
-        qid, width, head, budget = (batch[c].to_numpy(zero_copy_only=False) for c in ("qid", "width", "head", "budget"))
+        qid, width, name, head, budget = (batch[c].to_numpy(zero_copy_only=False) for c in ("qid", "width", "name", "head", "budget"))
         texts, picks, numbers = batch["text"], [], []
         bounds = [0, *(np.flatnonzero(qid[1:] != qid[:-1]) + 1), len(qid)] if len(qid) else []
         for a, b in zip(bounds, bounds[1:]):
             if kept == skips == 0 or qid[a] != now:
-                now, chars, skips, kept, seen = qid[a], 0, 0, 0, set()
+                now, chars, skips, kept, seen, files = qid[a], 0, 0, 0, set(), set()
             for at in range(a, b, STEP):
                 if skips >= SKIPS:
                     break
-                for i, text in enumerate(texts.slice(at, min(STEP, b - at)).to_pylist(), at):
+                n = min(STEP, b - at)
+                for i, text, file in zip(range(at, at + n), texts.slice(at, n).to_pylist(), batch["file"].slice(at, n).to_pylist()):
                     if text in seen:
                         continue
-                    longer = chars + int(width[i]) + 1
+                    longer = chars + int(width[i]) + 1 + (int(name[i]) + 1 if name[i] and file not in files else 0)
                     if max(1, (int(head[i]) + longer) // 4) > budget[i]:
                         skips += 1
                         if skips >= SKIPS:
@@ -52,25 +57,55 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     chars, skips, kept = longer, 0, kept + 1
                     seen.add(text)
+                    if name[i]:
+                        files.add(file)
                     picks.append(i)
                     numbers.append(kept)
         out = batch.take(pa.array(picks, pa.int64()))
         yield pa.RecordBatch.from_arrays([out["qid"], pa.array(numbers, pa.int32()), out["pos"], out["line"]], ["qid", "line_no", "pos", "line"])
 
 
-def packed(scores: DataFrame, questions: DataFrame, sentences: DataFrame, default_budget: int = 600, line: Column | None = None, head: Column | None = None) -> DataFrame:
+def folded(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """(qid, line_no, pos, line) from (qid, pos, text, line, width, file, name, head, budget) in the order given."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("qid", "pos")}
+    ordered = rows.repartition("qid").sortWithinPartitions("qid", *order)
+    return ordered.select("qid", "pos", "text", "line", "width", "file", "name", "head", "budget").mapInArrow(_fold, f"qid {kinds['qid']}, line_no int, pos {kinds['pos']}, line string")
+
+
+def packed(scores: DataFrame, questions: DataFrame, sentences: DataFrame, default_budget: int = 600, line: Column | None = None, head: Column | None = None, grouped: bool = False) -> DataFrame:
     """(qid, line_no, pos, line): what each reply holds below its head.
 
-    scores (qid, pos, score); questions (qid, budget); sentences (pos, source, text, shown). Copies of a text already
-    kept do not count as skips, so no number of ranks is enough for every question: all are offered to the fold.
+    scores (qid, pos, score); questions (qid, budget); sentences (pos, source, text, shown[, is_prose]). Copies of a
+    text already kept do not count as skips, so no number of ranks is enough for every question: all are offered to
+    the fold. With `grouped`, code lines are measured as they stand below their file's name (see `grouped_code`).
     """
     line = line if line is not None else T.compact_line(F.col("source"), F.col("text"), F.coalesce(F.col("shown"), F.lit("")))
+    code = ~F.col("is_prose") if grouped else F.lit(False)
     q = questions.select("qid", F.coalesce("budget", F.lit(default_budget)).cast("bigint").alias("budget"), (F.length(head) if head is not None else F.lit(len(HEAD))).cast("bigint").alias("head"))
-    d = scores.filter("score > 0").join(sentences.select("pos", "source", "text", "shown"), "pos").join(q, "qid").withColumn("line", line)
-    d = d.select("qid", "pos", "score", "text", "line", F.length("line").cast("bigint").alias("width"), "head", "budget").filter("line is not null")
-    kinds = {c: d.schema[c].dataType.simpleString() for c in ("qid", "pos")}
-    ordered = d.repartition("qid").sortWithinPartitions("qid", F.col("score").desc(), "pos").drop("score")
-    return ordered.mapInArrow(_fold, f"qid {kinds['qid']}, line_no int, pos {kinds['pos']}, line string")
+    d = scores.filter("score > 0").join(sentences.select("pos", "source", "text", "shown", *(["is_prose"] if grouped else [])), "pos").join(q, "qid")
+    d = d.withColumn("line", F.when(code, F.concat(F.lit("  "), T.one_line(F.col("text")))).otherwise(line)).filter("line is not null")
+    d = d.select("qid", "pos", "score", "text", "line", F.length("line").cast("bigint").alias("width"), F.col("source").alias("file"), F.when(code, F.length("source") + 2).otherwise(0).cast("bigint").alias("name"), "head", "budget")
+    return folded(d, [F.col("score").desc(), F.col("pos")])
+
+
+def fitted_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(qid, line_no, line): those of (qid, place, line) that fit below a head of (qid, head, budget); a line too long is
+    passed over, not a stop."""
+    d = lines.join(heads.select("qid", F.col("head").cast("bigint").alias("head"), F.col("budget").cast("bigint").alias("budget")), "qid")
+    d = d.select("qid", F.col("place").alias("pos"), F.concat(F.col("place").cast("string"), F.lit(" "), F.col("line")).alias("text"), "line", F.length("line").cast("bigint").alias("width"), F.lit("").alias("file"), F.lit(0).cast("bigint").alias("name"), "head", "budget")
+    return folded(d, [F.col("pos")]).select("qid", "line_no", "line")
+
+
+def fact_block(facts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(qid, line_no, line): the facts above a reply's sentences, within FACT_SHARE of its budget: facts with words first,
+    then a divider and the others, if one of them fits. facts (qid, place, line, cls); heads (qid, head, budget)."""
+    share = heads.select("qid", "head", F.floor(F.col("budget") * FACT_SHARE).alias("budget"))
+    words = fitted_lines(facts.filter("not cls").select("qid", "place", "line"), share)
+    used = words.groupBy("qid").agg(F.sum(F.length("line") + 1).alias("n"), F.max("line_no").alias("last"))
+    below = share.join(used, "qid", "left").select("qid", (F.col("head") + F.coalesce("n", F.lit(0)) + len(DIVIDER) + 1).alias("head"), "budget", F.coalesce("last", F.lit(0)).alias("last"))
+    other = fitted_lines(facts.filter("cls").select("qid", "place", "line"), below).join(below.select("qid", "last"), "qid")
+    divider = other.groupBy("qid").agg((F.max("last") + 1).alias("line_no")).withColumn("line", F.lit(DIVIDER))
+    return words.unionByName(divider.select("qid", "line_no", "line")).unionByName(other.select("qid", (F.col("last") + 1 + F.col("line_no")).alias("line_no"), "line"))
 
 
 def grouped_code(packed_lines: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -141,6 +176,7 @@ def within_size(merged: DataFrame, cap: DataFrame, head: int = len(HEAD)) -> Dat
 def searched(sentences: DataFrame, terms: DataFrame, limit: int = 8) -> DataFrame:
     """(term, pos, place, total): sentences that hold every word of a term, in corpus order. A term's rarest use is a scan:
     the terms are few and asked together, so the sentences are read once."""
-    hit = sentences.select("pos", "text").join(F.broadcast(terms.select("term").distinct()), T.contains_all_words(F.col("text"), F.col("term")))
+    t = terms.select("term").distinct()
+    hit = sentences.select("pos", "text").join(t, T.contains_all_words(F.col("text"), F.col("term")))
     w = Window.partitionBy("term")
     return hit.withColumn("place", F.row_number().over(w.orderBy("pos"))).withColumn("total", F.count("*").over(w)).filter(F.col("place") <= limit).select("term", "pos", "place", "total")

@@ -333,7 +333,7 @@ def reply_texts(s: SparkSession, d: str) -> DataFrame:
 def code_replies(s: SparkSession, d: str) -> DataFrame:
     t = sentences(s, d).withColumn("shown", T.shown_section(F.col("section")))
     f = features(s, d).filter("not isnan(lex_scores) and lex_scores > 0").select("qid", "pos", F.col("lex_scores").alias("score"))
-    return reply.grouped_code(reply.packed(f, questions(s, d), t), t)
+    return reply.grouped_code(reply.packed(f, questions(s, d), t, grouped=True), t)
 
 
 @query
@@ -537,7 +537,7 @@ def redacted_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def spaced_digit_texts(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", prep.spaced_digits(F.col("text"), 5, F.coalesce("sonar_lang", F.lit(""))).alias("text"))
+    return read(s, d, "documents").select("doc_id", prep.spaced_digits(F.col("text"), 5, F.coalesce("sonar_lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("text"))
 
 
 @query
@@ -574,7 +574,7 @@ def sanitized_code(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def prepared_records(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", prep.prepared(F.col("text"), F.col("modality"), F.coalesce("sonar_lang", F.lit(""))).alias("text"))
+    return read(s, d, "documents").select("doc_id", prep.prepared(F.col("text"), F.col("modality"), F.coalesce("sonar_lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("text"))
 
 
 @query
@@ -602,9 +602,25 @@ def relation_labels(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def between_labels(s: SparkSession, d: str) -> DataFrame:
-    t = sentences(s, d)
-    a, b = F.instr("text", " "), F.length("text") - F.instr(F.reverse("text"), " ")
-    return t.select("pos", prep.between_label(F.col("text"), a, b).alias("label"))
+    """The first word and the last one of a sentence as spans, in every other row in reverse order."""
+    t = sentences(s, d).filter("text is not null")
+    n = F.length("text")
+    first, last = F.instr("text", " ") - 1, n - F.instr(F.reverse("text"), " ") + 1
+    turned = F.col("pos") % 2 == 1
+    spans = [F.when(turned, x).otherwise(y) for x, y in ((last, F.lit(0)), (n, first), (F.lit(0), last), (first, n))]
+    x = t.filter(F.instr("text", " ") > 0).select("pos", prep.between_label(F.col("text"), *spans).alias("x"))
+    return x.select("pos", "x.label", "x.swapped")
+
+
+@query
+def rebuilt_code(s: SparkSession, d: str) -> DataFrame:
+    return corpus.rebuilt_code(sentences(s, d))
+
+
+@query
+def document_headings(s: SparkSession, d: str) -> DataFrame:
+    docs = read(s, d, "documents").filter("modality = 'prose' and text is not null").select(F.col("doc_id").alias("source"), "text")
+    return corpus.headings(docs).select(F.col("source").alias("doc_id"), "at", "level", "title")
 
 
 @query

@@ -38,8 +38,18 @@ def _shown(x: str) -> str:
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE array_to_string(string_split({x}, ' › ')[-2:], ' › ') END"
 
 
+def _unheaded(text: str, shown: str) -> str:
+    """The text without heading lines at its beginning that `shown` names."""
+    lines = f"string_split(regexp_replace({text}, '^\\s+', ''), chr(10))"
+    title = lambda x: _one_line(f"regexp_replace(regexp_replace({x}, '^\\s*#+', ''), '[\\[\\]*`_]', '', 'g')")
+    stays = f"list_filter(list_transform({lines}, lambda x, i: CASE WHEN {_strip('x')} = '' OR list_contains(string_split({shown}, '{T.SECTION_SEP}'), {title('x')}) THEN NULL ELSE i - 1 END), lambda i: i IS NOT NULL)"
+    n = f"(len({lines}) - 1)"
+    begin = f"least(coalesce({stays}[1], {n}), CASE WHEN {lines}[-1] = '' THEN greatest({n} - 1, 0) ELSE {n} END)"
+    return f"CASE WHEN {shown} IS NULL OR {shown} = '' THEN {text} ELSE (SELECT CASE WHEN z.b = 0 THEN {text} ELSE array_to_string(({lines})[z.b + 1:], chr(10)) END FROM (SELECT {begin} AS b) z) END"
+
+
 def _compact(source: str, text: str, shown: str) -> str:
-    return f"'[' || CASE WHEN {shown} <> '' THEN {source} || ' § ' || {shown} ELSE {source} END || '] ' || {_one_line(text)}"
+    return f"'[' || CASE WHEN {shown} <> '' THEN {source} || ' § ' || {shown} ELSE {source} END || '] ' || {_one_line('(' + _unheaded(text, shown) + ')')}"
 
 
 _QUANTITY = "|".join(T.QUANTITY)
@@ -187,7 +197,7 @@ s AS (SELECT *, pow(al * omega - mu, 2) / greatest(omega * (1 - omega), 1e-12) A
     "corpus_statistics": f"WITH {_EDGES}, d AS (SELECT source, max(tokens) AS tokens FROM docs GROUP BY source), a AS (SELECT (SELECT count(*) FROM d) AS docs, (SELECT sum(tokens) FROM d)::BIGINT AS raw_tokens, (SELECT count(DISTINCT pos) FROM sentences) AS sentences, count(*) AS edges, count(*) FILTER (WHERE r_lex <> '') AS lexical_edges, sum(greatest(1, (length(s) + length(r) + length(o) + 2) // 4))::BIGINT AS graph_tokens, (SELECT count(DISTINCT x) FROM (SELECT s AS x FROM e UNION ALL SELECT o FROM e)) AS entities, (SELECT count(DISTINCT source) FROM sent_vectors) AS embedded_docs FROM e) SELECT *, round_even(raw_tokens / greatest(graph_tokens, 1), 1) AS compression FROM a",
     "ledger_by_tool": "SELECT event_type AS tool, count(*) AS calls, sum(greatest(1, length(props) // 4))::BIGINT AS served FROM events GROUP BY event_type",
     "ledger_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS tool, count(*) AS calls, sum(greatest(1, length(props) // 4))::BIGINT AS served FROM events GROUP BY 1, 2",
-    "cypher_rows": f"WITH {_EDGES} SELECT id, 'MERGE (a:Entity {{name: $s}}) MERGE (b:Entity {{name: $o}}) MERGE (a)-[x:' || upper(r) || ' {{source: $source}}]->(b)' AS query, s, o, upper(r) AS type, source FROM e",
+    "cypher_rows": f"WITH {_EDGES} SELECT id, 'MERGE (a:Entity {{name: $s}}) MERGE (b:Entity {{name: $o}}) MERGE (a)-[r:REL {{type: $r, source: $src}}]->(b)' AS query, s, o, r, source AS src FROM e",
     "literal_links": f"WITH {_Q}, a AS (SELECT DISTINCT qid AS key, unnest(q_tokens) AS entity FROM questions), b AS (SELECT DISTINCT qid AS key, unnest(regexp_extract_all(question, '\\d+')) AS literal FROM q) SELECT key, entity, 'number' AS kind, literal FROM a JOIN b USING (key) WHERE entity IS NOT NULL",
     "training_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part), c AS (SELECT p_partkey, 6 * n * x * 2 + 4 * 2 * n * x * 2 * 25 + 2 * 3 * n * x * 25 AS a, 6 * n * x * 2 + 6 * 2 * n * x * 2 + 2 * 3 * n * x * 25 AS g, 6 * n * x * 25 * 2 AS t FROM m) SELECT p_partkey, round(a, 3) AS total, round(g, 3) AS graph_total, round(t, 3) AS token_total, round(a / t, 6) AS ratio FROM c",
     "inference_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part) SELECT p_partkey, round(2 * n / 25 + 4 * n, 6) AS concept, round(2 * n, 6) AS token, round(2 * n * x + 2 * x * x * 64, 6) AS context, round(4 * n, 6) AS graph, round(6 * n * x, 6) AS token_graph, round(x * 1008000000.0, 6) AS prefill, round(x / 25 * 1024 * 2, 6) AS state, round(x * 2 * 12 * 64 * 2, 6) AS cache FROM m",

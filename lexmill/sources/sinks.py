@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,46 +14,72 @@ POINTER = "_CURRENT"
 
 
 class Versions:
-    """Tables of a corpus under root/v=N; a pointer file, renamed into place last, names the version readers use."""
+    """Tables of a corpus under root/v=N; a pointer file, renamed into place last, names the version readers use.
+
+    All files are reached through Hadoop's file systems, so a root may lie in any storage Spark reads.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        at = self._path(self.root)
+        self.fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        qualified = self.fs.makeQualified(at)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration())
+        self._overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._qualified = qualified.toString()
+
+    def _in(self, name: str):
+        return self._path(f"{self._qualified}/{name}")
+
+    def _move(self, old: str, new: str) -> None:
+        self._files.rename(self._in(old), self._in(new), self._overwrite)
 
     def current(self) -> int | None:
+        if not self.fs.exists(self._in(POINTER)):
+            return None
         try:
-            with open(os.path.join(self.root, POINTER)) as f:
-                state = json.load(f)
-            n = state["version"]
-            if not isinstance(n, int) or n < 0 or not os.path.isdir(self._at(n)):
+            n = json.loads(self._text(POINTER))["version"]
+            if not isinstance(n, int) or n < 0 or not self.fs.exists(self._in(f"v={n}")):
                 raise ValueError("no such version")
             return n
-        except FileNotFoundError:
-            return None
         except (ValueError, KeyError, TypeError):
             # what cannot be understood is put aside, never overwritten
-            bad = os.path.join(self.root, POINTER)
-            os.replace(bad, f"{bad}.corrupt-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}")
+            self._move(POINTER, f"{POINTER}.corrupt-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}")
             return None
 
+    def _text(self, name: str) -> str:
+        stream = self.fs.open(self._in(name))
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e.java_exception):
+                raise ValueError("the file was changed") from e
+            raise
+        finally:
+            stream.close()
+
     def _at(self, n: int) -> str:
-        return os.path.join(self.root, f"v={n}")
+        return f"{self._qualified}/v={n}"
 
     def write(self, **tables: DataFrame) -> int:
         n = (self.current() or 0) + 1
-        while os.path.exists(self._at(n)):
+        while self.fs.exists(self._in(f"v={n}")):
             n += 1
         for name, df in tables.items():
-            df.write.parquet(os.path.join(self._at(n), name))
-        new = os.path.join(self.root, f"{POINTER}.{os.getpid()}")
-        with open(new, "w") as f:
-            json.dump({"version": n, "tables": sorted(tables), "written_at": time.time()}, f)
-        os.replace(new, os.path.join(self.root, POINTER))
+            df.write.parquet(f"{self._at(n)}/{name}")
+        new = f"{POINTER}.{uuid.uuid4().hex}"
+        out = self.fs.create(self._in(new))
+        out.write(bytearray(json.dumps({"version": n, "tables": sorted(tables), "written_at": time.time()}).encode("utf-8")))
+        out.close()
+        self._move(new, POINTER)
         return n
 
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
         n = self.current() if version is None else version
-        path = None if n is None else os.path.join(self._at(n), name)
-        return None if path is None or not os.path.isdir(path) else self.spark.read.parquet(path)
+        return None if n is None or not self.fs.exists(self._in(f"v={n}/{name}")) else self.spark.read.parquet(f"{self._at(n)}/{name}")
 
 
 def write_shards(df: DataFrame, path: str, rows: int = 100_000, resume: bool = True) -> None:
@@ -66,18 +93,35 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("*", meta["file_name"].alias("shard"), meta["row_index"].alias("row"))
 
 
-def cypher(edges: DataFrame) -> DataFrame:
-    """(id, query, s, o, type, source): the statement that merges an edge, and its parameters; a relationship's type cannot
-    be a parameter, so it is kept to letters, digits and underscores and becomes part of the text."""
-    kind = F.upper(F.regexp_replace("r", "[^A-Za-z0-9_]", "_"))
-    q = F.concat(F.lit("MERGE (a:Entity {name: $s}) MERGE (b:Entity {name: $o}) MERGE (a)-[x:"), kind, F.lit(" {source: $source}]->(b)"))
-    return edges.select("id", q.alias("query"), "s", "o", kind.alias("type"), "source")
+#: where an edge was read, as properties of its relationship
+PROVENANCE = ("sentence", "s_span", "o_span", "r_class", "pattern", "swapped")
+
+
+def _merge(other: str, link: str) -> str:
+    """A statement that merges an entity, another node and the relationship between them; every value is a parameter."""
+    return f"MERGE (a:Entity {{name: $s}}) MERGE (b:{other}) MERGE (a)-[r:{link}]->(b)"
+
+
+def cypher(edges: DataFrame, provenance: bool = False) -> DataFrame:
+    """(id, query, s, o, r, src[, provenance]): the statement that merges an edge, and its parameters. The relation's
+    words are a property, so relations that differ in any character stay apart."""
+    query = _merge("Entity {name: $o}", "REL {type: $r, source: $src}")
+    more = PROVENANCE if provenance else ()
+    if more:
+        query += " SET " + ", ".join(f"r.{k} = ${k}" for k in more)
+    return edges.select("id", F.lit(query).alias("query"), "s", "o", "r", F.col("source").alias("src"), *more)
+
+
+def literal_cypher(links: DataFrame) -> DataFrame:
+    """(query, s, value, kind, src): the statement that links an entity with a literal. links (key, entity, kind, literal, source)."""
+    query = _merge("Literal {value: $value, kind: $kind}", "HAS_LITERAL {source: $src}")
+    return links.select(F.lit(query).alias("query"), F.col("entity").alias("s"), F.col("literal").alias("value"), "kind", F.col("source").alias("src"))
 
 
-#: one entity of a name and one literal of a value
+#: one entity of a name and one literal of a value and a kind
 CONSTRAINTS = (
     "CREATE CONSTRAINT entity_name IF NOT EXISTS FOR (n:Entity) REQUIRE n.name IS UNIQUE",
-    "CREATE CONSTRAINT literal_value IF NOT EXISTS FOR (n:Literal) REQUIRE n.value IS UNIQUE",
+    "CREATE CONSTRAINT literal_value_kind IF NOT EXISTS FOR (n:Literal) REQUIRE (n.value, n.kind) IS UNIQUE",
 )
 
 

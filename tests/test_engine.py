@@ -2,7 +2,6 @@
 
 import io
 import json
-import os
 import random
 import zipfile
 
@@ -84,9 +83,51 @@ def test_packing_reads_as_many_ranks_as_it_takes(spark):
         assert got[q] == pack_by_hand([(i, x[2], len(f"[f.md] {x[2]}")) for i, x in enumerate(sents)], len(reply.HEAD), budget) and len(got[q]) > 20
 
 
-def test_section_paths():
+def test_section_paths(spark):
     t = "# T\n## A\nx\n```\n# no\n```\n### B\ny\n## C\nz"
-    assert corpus.section_paths_of(t, [t.index(c) for c in "xyz"]) == ["A", "A › B", "C"]
+    u = "# One\na\n# Two\r\n## [B]* `c`  d #\nb\n### " + "w" * 50 + "\nc"
+    docs = spark.createDataFrame([("t.md", t), ("u.md", u), ("v.md", "no heading")], "source string, text string")
+    rows = [("t.md", i, t.rindex(c), True) for i, c in enumerate("xyz")] + [("u.md", i, u.index(c), True) for i, c in enumerate(("\na", "\nb", "\nc"))] + [("v.md", 0, 0, True), ("x.py", 0, 0, False)]
+    s = spark.createDataFrame(rows, "source string, sent_idx int, char_offset int, is_prose boolean")
+    got = {(r["source"], r["sent_idx"]): r["section"] for r in corpus.with_sections(s, docs).collect()}
+    assert [got["t.md", i] for i in range(3)] == ["A", "A › B", "C"]
+    assert [got["u.md", i] for i in range(3)] == ["One", "Two › B c d", "Two › B c d › " + "w" * 40]
+    assert got["v.md", 0] == got["x.py", 0] == ""
+    assert corpus.with_sections(s.limit(0), docs).count() == 0
+
+
+def test_rebuilt_code(spark):
+    src = "def f(x):\n    y = 1\n\n    return y\n"
+    rows = [("f.py", line.strip(), src.index(line.strip()), False) for line in src.split("\n") if line.strip()]
+    s = spark.createDataFrame(rows, "source string, text string, char_offset int, is_prose boolean")
+    assert corpus.rebuilt_code(s).first()["text"] == "def f(x):\n    y = 1\n     return y"
+
+
+def test_numbering(spark):
+    from lexmill.operators.shared import numbered_rows
+
+    df = spark.createDataFrame([(f"s{i:03d}",) for i in random.Random(1).sample(range(500), 500)], "source string")
+    assert [r["n"] for r in numbered_rows(df, ["source"], "n", 7).orderBy("source").collect()] == list(range(7, 507))
+    assert numbered_rows(df.limit(0), ["source"], "n").count() == 0
+    sents = spark.createDataFrame([(d, i) for d in (0, 99_999, 100_000, 350_000) for i in range(3)], "doc_seq long, sent_idx int")
+    assert [r["pos"] for r in corpus.numbered(sents).orderBy("doc_seq", "sent_idx").collect()] == list(range(12))
+
+
+def test_statements_for_a_graph_database(spark):
+    e = spark.createDataFrame([(1, "a", "a-b", "b", "f"), (2, "a", "a_b", "b", "f")], "id long, s string, r string, o string, source string")
+    rows = sinks.cypher(e).collect()
+    assert {r["r"] for r in rows} == {"a-b", "a_b"} and len({r["query"] for r in rows}) == 1 and "{type: $r, source: $src}" in rows[0]["query"]
+    more = e.selectExpr("*", "'t' sentence", "0 s_span", "1 o_span", "'c' r_class", "1 pattern", "false swapped")
+    assert sinks.cypher(more, provenance=True).first()["query"].endswith("r.pattern = $pattern, r.swapped = $swapped")
+    assert any("(n.value, n.kind)" in c for c in sinks.CONSTRAINTS)
+
+
+def test_packing_measures_code_below_its_file(spark):
+    s = spark.createDataFrame([(i, "a.py", i, f"x{i} = {'1' * 50}", "", False) for i in range(20)], "pos long, source string, sent_idx int, text string, shown string, is_prose boolean")
+    scores = spark.createDataFrame([(1, i, 50.0 - i) for i in range(20)], "qid long, pos long, score double")
+    lines = reply.packed(scores, spark.createDataFrame([(1, 200)], "qid long, budget int"), s, grouped=True)
+    text = "\n".join([reply.HEAD, *[r["line"] for r in reply.grouped_code(lines, s).orderBy("order").collect()]])
+    assert len(text) // 4 <= 200 < (len(text) + 1 + 60) // 4 and text.count("[a.py]") == 1
 
 
 def test_learned_order_and_weights():
@@ -148,7 +189,7 @@ def test_readers(spark, tmp_path):
     files = {
         "a.txt": b"plain text",
         "b.html": b"<html><nav>no</nav><body>out<article><p>One&nbsp;&amp; two</p><script>x<p></script><table>t</table></article></body></html>",
-        "c.rtf": rb"{\rtf1{\fonttbl{\f0 X;}}Caf\'e9\par \{x\}}",
+        "c.rtf": rb"{\rtf1{\fonttbl{\f0 X;}}Caf\'e9\par \{x\}{\*\gone no}\u8364?{\info{\title t}}}",
         "d.ipynb": json.dumps({"cells": [{"source": ["a\n", "b"]}, {"source": "c"}]}).encode(),
         "e.eml": b"Subject: Hi\nFrom: a@b.org\n\nBody here",
         "f.docx": office(word__document_dot_xml="<d xmlns:w='w'><w:p><w:r><w:t>A</w:t><w:tab/><w:t>B</w:t></w:r></w:p><w:p/></d>"),
@@ -168,7 +209,7 @@ def test_readers(spark, tmp_path):
         (tmp_path / n).write_bytes(data)
     got = {r["source"]: r for r in readers.read_sources(spark, str(tmp_path)).collect()}
     text = {k: v["text"] for k, v in got.items() if v["error"] is None}
-    assert text == {"a.txt": "plain text", "b.html": "One & two", "c.rtf": "Café\n{x}", "d.ipynb": "a\nb\n\nc", "e.eml": "Subject: Hi\nFrom: a@b.org\n\nBody here", "f.docx": "A B", "g.xlsx": "k | 2", "h.pptx": "two\n\nten", "i.odt": "H\na b", "j.epub": "chapter", ".github/x.txt": "kept"}
+    assert text == {"a.txt": "plain text", "b.html": "One & two", "c.rtf": "Café\n{x}€", "d.ipynb": "a\nb\n\nc", "e.eml": "Subject: Hi\nFrom: a@b.org\n\nBody here", "f.docx": "A B", "g.xlsx": "k | 2", "h.pptx": "two\n\nten", "i.odt": "H\na b", "j.epub": "chapter", ".github/x.txt": "kept"}
     assert set(got) - set(text) == {"k.bin", "l.docx", "m.doc"}
     with pytest.raises(readers.Unreadable):
         readers.read_strict(spark, str(tmp_path))
@@ -207,36 +248,88 @@ def test_streams(spark, tmp_path):
 DOC = "# Guide\n## Storage\nThe indexer keeps every heading path. It stores them by file.\n## Speed\nThe packer fits the best lines into a budget. Ann Lee wrote the packer in 2019.\n" + "Filler words about nothing in particular go here. " * 30
 
 
-slow = pytest.mark.skipif(not os.environ.get("LEXMILL_SLOW"), reason="takes minutes on one machine; set LEXMILL_SLOW to run")
+FACTS = "s string, r string, o string, r_lex string, pattern string, source string, sent_idx int"
 
 
-@slow
-def test_engine(spark):
+@pytest.fixture(scope="module")
+def guide(spark):
     e = Engine(spark)
     assert [r["status"] for r in e.add(DOC, "guide.md").collect()] == ["ingested"]
+    e.add("def pay(amountDue):\n    return amountDue * 2\n", "pay.py")
+    return e
+
+
+def test_engine_answers(spark, guide):
+    e = guide
     assert [r["status"] for r in e.add(DOC, "guide.md").collect()] == ["unchanged"]
-    many = spark.createDataFrame([(1, "Who wrote the packer?"), (2, "What does the indexer keep?"), (3, "zzz qqq")], "qid long, question string")
-    got = {r["qid"]: r["reply"] for r in e.answers(many, hop=False).collect()}
+    a = e.ask("Who wrote the packer?", 100)
+    assert "Ann Lee wrote the packer in 2019." in a and "[guide.md § Speed]" in a
+    assert e.ask("zzz qqq", 100) == reply.NONE
+    code = e.ask("amount due", 100, scorer="lexical")
+    assert "[pay.py]\n  def pay(amountDue):\n  return amountDue * 2" in code
+    assert "Question: Who" in e.context("Who wrote the packer?")
+    many = spark.createDataFrame([(1, "Who wrote the packer?", None), (2, "What does the indexer keep?", 200), (3, "zzz qqq", 100)], "qid long, question string, budget int")
+    got = {r["qid"]: r["reply"] for r in e.answers(many).collect()}
     assert "[guide.md § Speed] Ann Lee wrote the packer in 2019." in got[1] and "heading path" in got[2] and got[3] == reply.NONE
     with pytest.raises(ValueError):
         e.answers(many, scorer="other")
-    assert e.search("HEADING path").count() == 1
-    e.add_edges(spark.createDataFrame([("ann", "wrote", "packer", "wrote", None, "guide.md", 0)], "s string, r string, o string, r_lex string, pattern string, source string, sent_idx int"))
-    assert e.query("Ann").orderBy("place").collect()[1]["line"] == "ann wrote packer #0"
+    assert [r["text"] for r in e.search("HEADING path").collect()] and e.search("HEADING path").count() == 1
+    calls = {r["tool"]: r["calls"] for r in e.ledger().collect()}
+    assert calls == {"ask": 4, "search": 2} and e.stats().first()["served"] > 0
+
+
+def test_engine_facts_and_versions(spark, tmp_path):
+    e = Engine(spark, save_to=str(tmp_path / "corpus"))
+    e.add(DOC, "guide.md")
+    e.add_edges(spark.createDataFrame([("ann", "wrote", "packer", "wrote", None, "guide.md", 3), ("ann", "near", "packer", None, None, "guide.md", 3)], FACTS))
+    lines = [r["line"] for r in e.query("Ann").orderBy("place").collect()]
+    assert sorted(lines[1:]) == sorted(["ann wrote packer #1", graph.DIVIDER, "ann near packer #0"])
+    assert "no entity matches" in e.query("nobody").first()["line"] and e.provenance(0).first()["status"] == "known"
+    whole = e.ask("What did ann do with the packer?", full=True)
+    assert whole.startswith("entities: ") and "ann" in whole.split("\n")[0] and "ann wrote packer #1" in whole and 'guide.md s3: "Ann Lee' in whole
+    assert whole.index("wrote packer #1") < whole.index(graph.DIVIDER) < whole.index("near packer #0") < whole.index("\n--\n")
     s = e.stats().first()
-    assert s["docs"] == 1 and s["edges"] == 1 and s["entities"] == 2
+    assert s["docs"] == 1 and s["edges"] == 2 and s["entities"] == 2
     e.add(DOC.replace("2019", "2020"), "guide.md")
-    assert e.search("2020").count() == 1 and e.edges.count() == 0
-    e.drop("guide.md")
-    assert e.docs.count() == 0
+    assert "2020" in e.ask("Who wrote the packer?", 100) and e.edges.count() == 0
+    e.add_edges(spark.createDataFrame([("x", "y", "z", "y", None, "guide.md", 0)], FACTS))
+    status = {r["id"]: r["status"] for r in e.provenance(0, 1, 2, 3).collect()}
+    assert status == {0: "retired", 1: "retired", 2: "known", 3: "unknown"}  # ids are never given twice
+    e.add("Another text.", "b.txt")
+    again = Engine(spark, save_to=str(tmp_path / "corpus"))
+    assert again.docs.count() == 2 and again.next_id == 3 and again.edges.count() == 1
+    again.drop("guide.md")
+    assert again.docs.count() == 1 and again.edges.count() == 0
+
+
+def test_engine_reads_facts_with_an_extractor(spark, tmp_path):
+    seen = []
+
+    def extract(sentences):
+        seen.append(sorted(r[0] for r in sentences.select("source").distinct().collect()))
+        return sentences.filter("text like '%packer in%'").select(F.lit("ann").alias("s"), F.lit("wrote").alias("r"), F.lit("packer").alias("o"), F.lit("wrote").alias("r_lex"), F.lit(None).cast("string").alias("pattern"), "source", "sent_idx")
+
+    (tmp_path / "guide.md").write_text(DOC)
+    (tmp_path / "bad.docx").write_bytes(b"broken")
+    e = Engine(spark)
+    e.add(f"file://{tmp_path}")
+    assert {r["source"] for r in e.docs.collect()} == {"guide.md"} and e.errors.count() == 1
+    with pytest.raises(RuntimeError):
+        e.deep()
+    e.deep(extract)
+    e.add("Nothing to see.", "b.txt")
+    assert e.edges.count() == 1 and seen == [["guide.md"], ["b.txt"]]
 
 
-@slow
 def test_engine_with_vectors(spark):
     e = Engine(spark, vectors=True)
     e.add(DOC, "guide.md")
-    q = spark.createDataFrame([(1, "Who wrote the packer?")], "qid long, question string")
-    assert "packer" in e.answers(q, scorer="dense", hop=False).first()["reply"]
+    q = spark.createDataFrame([(1, "Who wrote the packer?"), (2, "Zork plugh xyzzy the packer?")], "qid long, question string")
+    assert "packer" in {r["qid"]: r["reply"] for r in e.answers(q, scorer="dense", hop=False).collect()}[1]
+    got = {r["qid"]: r for r in e.answers(q, hop=False).collect()}
+    assert "packer" in got[1]["reply"] and got[2]["conf"] is not None
+    with pytest.raises(ValueError):
+        Engine(spark, vectors=True, encode=lambda texts: [[3.0, 4.0]] * len(texts))
 
 
 def test_small_tables(spark):
