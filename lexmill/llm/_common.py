@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.shared import cut as cut
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a narrow scan (one small file) as many partitions as there are cores; a wide scan stays as it is."""
@@ -44,28 +46,6 @@ def hash_sample(df: DataFrame, by: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64(by), by).limit(most)
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names. Where none is named a local session (tests) gets a folder of its own;
-    a cluster gets an error, as executors cannot read each other's local folders."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="lexmill-ckpt-")
-    sc.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the lineage is cut and the rows survive a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All characters of a string column as one UTF-32 array, and where each row begins (n + 1 offsets).
 

@@ -53,20 +53,24 @@ def _oriented(name: str, sign: int) -> Column:
     return v if sign > 0 else -v if sign < 0 else -F.abs(v)
 
 
-def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", scores: dict[str, tuple[float, int]] | None = None, split_rows: int = 500_000) -> DataFrame:
+#: candidates of a query up to which it is ranked by windows in one task
+SPLIT_ROWS = 100_000
+
+
+def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", scores: dict[str, tuple[float, int]] | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(group, item, fused): one value a candidate.
 
     Most queries are ranked by window functions that share one shuffle by query; queries above `split_rows` go
-    another way in which no task holds a whole query. Rows without a group are one group, rows without an item one item.
+    another way to the same values in which no task holds a whole query. Which way a query goes is found by a join,
+    so nothing about the queries is brought to the driver but whether there is a large one at all. Rows without a
+    group are one group, rows without an item one item.
     """
     scores = scores or DEFAULT_SCORES
     names = list(scores)
     base = df.select(F.col(f"`{group_col}`").alias("g"), F.col(f"`{item_col}`").alias("i"), *[_oriented(n, s).alias(f"s{k}") for k, (n, (_, s)) in enumerate(scores.items())])
     vals = [f"s{k}" for k in range(len(names))]
-    sizes = base.groupBy("g").agg(F.count("*").alias("n"))
-    hot = [r[0] for r in sizes.filter(F.col("n") > split_rows).select("g").collect()]  # at most rows / split_rows
-    # null equals nothing, so the group of null is told by a test of its own
-    is_hot = F.coalesce(F.col("g").isin([x for x in hot if x is not None]), F.lit(False)) | (F.col("g").isNull() & F.lit(None in hot))
+    large = base.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > split_rows).select(F.col("g").alias("large"))
+    same = F.col("g").eqNullSafe(F.col("large"))
     weights = [scores[n][0] for n in names]
 
     def fuse(d: DataFrame, p: list[Column]) -> DataFrame:
@@ -98,9 +102,9 @@ def fused_scores(df: DataFrame, group_col: str = "qid", item_col: str = "pos", s
         wide = p.groupBy("gk", "ik").agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(f"p{v}") for k, v in enumerate(vals)])
         return fuse(d.select("g", "i", "gk", "ik").join(wide, ["gk", "ik"], "left"), [F.col(f"p{v}") for v in vals])
 
-    if not hot:
+    if not large.limit(1).count():
         return windowed(base)
-    return windowed(base.filter(~is_hot)).unionByName(scattered(base.filter(is_hot)))
+    return windowed(base.join(large, same, "left_anti")).unionByName(scattered(base.join(large, same, "left_semi")))
 
 
 def first_of_each(fused: DataFrame, group_col: str = "qid", item_col: str = "pos") -> DataFrame:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._common import hash_sample, pick, slices, spread
-from .lookalikes import CYRILLIC_LATIN, CYRILLIC_LIKE, GREEK_LATIN, GREEK_LIKE
+from .lookalikes import ALIKE
 from .markup import mask
 
 DIM = 4_096
@@ -51,7 +51,7 @@ _PIECE = re.compile(r"[^\n.!?。！？।؟…]*(?:[.!?।؟…]+(?=[^\s\w]*\s|[
 #: a run of letters, with marks and characters without ink inside it
 _RUN = regex.compile(r"\p{L}[\p{L}\p{M}\u00ad\u200b-\u200d\u2060\ufeff]*")
 _NO_INK = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_FOLD = str.maketrans(CYRILLIC_LIKE + GREEK_LIKE, CYRILLIC_LATIN + GREEK_LATIN)
+_FOLD = str.maketrans(ALIKE)
 
 
 def plain_word(w: str) -> str:

@@ -25,8 +25,17 @@ from pyspark.sql import functions as F
 from ._common import code_points, map_arrow, null_mask, pick, slices, spread, to_strings
 
 #: Letters of other scripts drawn like a Latin letter.
-CYRILLIC_LIKE, CYRILLIC_LATIN = "АВЕЅІЈКМНОРСТХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTXaesijopcyxdhqw"
-GREEK_LIKE, GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
+CYRILLIC_LIKE, CYRILLIC_LATIN = "АВЕЅІЈКМНОРСТХаеѕіјорсухԁһԛԝӀԌԚԜѴ", "ABESIJKMHOPCTXaesijopcyxdhqwIGQWV"
+GREEK_LIKE, GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϹϳͿ", "ABEZHIKMNOPTYXovcCjJ"
+ARMENIAN_LIKE, ARMENIAN_LATIN = "ՕՍօսցզհոյԼ", "OUougqhnjL"
+CHEROKEE_LIKE, CHEROKEE_LATIN = "ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTYAJEWMHYGZ4RWSVSLCPKdGB"
+LISU_LIKE, LISU_LATIN = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+PHONETIC_LIKE, PHONETIC_LATIN = "ɡɑᴏᴄᴠᴡᴢ", "gaocvwz"
+#: Hyphens drawn like the one of ASCII.
+HYPHENS = "\u2010\u2011"
+ALIKE = dict(zip(CYRILLIC_LIKE + GREEK_LIKE + ARMENIAN_LIKE + CHEROKEE_LIKE + LISU_LIKE + PHONETIC_LIKE + HYPHENS, CYRILLIC_LATIN + GREEK_LATIN + ARMENIAN_LATIN + CHEROKEE_LATIN + LISU_LATIN + PHONETIC_LATIN + "--"))
+#: keys the rows of one text are spread over
+SALTS = 8
 #: Compatibility forms that do not look like what they stand for.
 OTHER_LOOK = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>")
 
@@ -42,7 +51,7 @@ def tables() -> dict[str, np.ndarray]:
     """Built once per Python worker from the Unicode data of the interpreter."""
     if _tables:
         return _tables
-    alike = dict(zip(CYRILLIC_LIKE + GREEK_LIKE, CYRILLIC_LATIN + GREEK_LATIN))
+    alike = ALIKE
     top = 0x110000
     size, start = np.ones(top, np.int8), np.zeros(top, np.int32)
     first, ccc = np.arange(top, dtype=np.uint32), np.zeros(top, np.uint8)
@@ -176,21 +185,17 @@ def look_forms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def look_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, look BINARY, own BINARY): 128-bit digests of the form and of the text as it stands; blank texts are left out.
 
-    Only digests leave Python, so a shuffle on them moves some 40 bytes a row, whatever the texts' lengths.
+    Forms are made by the batch and digested in the JVM; only digests are shuffled, some 40 bytes a row, whatever the
+    texts' lengths.
     """
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        import xxhash
-
-        forms = one_form_array(b.column(1)).to_pylist()
-        texts = b.column(1).to_pylist()
-        keep = [i for i, f in enumerate(forms) if f and not f.isspace()]
-        if not keep:
-            return None
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([xxhash.xxh3_128_digest(forms[i].encode()) for i in keep], pa.binary()), pa.array([xxhash.xxh3_128_digest(texts[i].encode()) for i in keep], pa.binary())], [id_col, "look", "own"])
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), one_form_array(b.column(1))], [id_col, "__text", "__form"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(spread(pick(df, **{"id": id_col, "text": text_col})), run, f"`{id_col}` {kind}, look binary, own binary")
+    made = map_arrow(spread(pick(df, **{"id": id_col, "text": text_col})), run, f"`{id_col}` {kind}, __text string, __form string")
+    digest = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
+    return made.filter(F.col("__form").rlike(r"[^\s\x{1C}-\x{1F}\x{85}\x{2028}\x{2029}]")).select(id_col, digest(F.col("__form")).alias("look"), digest(F.col("__text")).alias("own"))
 
 
 def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,11 +213,19 @@ def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b), a < b: rows that look the same and are not equal.
 
-    Only forms with at least two different texts go into the join; equal texts are never paired.
+    Different texts of one form are paired first, each once, however many rows hold it; then each text of a pair is
+    replaced by its rows. No rows are joined that are not a result, so copies of one text cost nothing until they meet
+    another one. Rows of a text are spread over SALTS keys in both joins.
     """
     keys = look_keys(df, id_col, text_col)
-    mixed = keys.groupBy("look", "own").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("look")
-    keys = keys.join(mixed, "look", "left_semi")
-    a = keys.select("look", F.col("own").alias("own_a"), F.col(id_col).alias("a"))
-    b = keys.select("look", F.col("own").alias("own_b"), F.col(id_col).alias("b"))
-    return a.join(b, "look").filter("a < b and own_a <> own_b").select("a", "b")
+    texts = keys.groupBy("look", "own").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("look").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("look")
+    texts = texts.join(mixed, "look", "left_semi").select("look", "own")
+    pairs = texts.withColumnRenamed("own", "own_x").join(texts.withColumnRenamed("own", "own_y"), "look").filter("own_x < own_y")
+    rows = keys.join(mixed, "look", "left_semi").withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    x = rows.select("look", F.col("own").alias("own_x"), "salt", F.col(id_col).alias("x"))
+    y = rows.select("look", F.col("own").alias("own_y"), "salt", F.col(id_col).alias("y"))
+    one = pairs.withColumn("salt", every).join(x, ["look", "own_x", "salt"]).drop("salt", "own_x")
+    both = one.withColumn("salt", every).join(y, ["look", "own_y", "salt"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b")

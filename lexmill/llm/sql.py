@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import fusion
+
 _ONE = "SELECT qid, max(q_tokens) AS q FROM questions WHERE q_tokens IS NOT NULL GROUP BY qid"
 _EDGE = r"^[\p{P}\p{Z}\p{Cc}\s]+|[\p{P}\p{Z}\p{Cc}\s]+$"
 _TERMS = rf"""
@@ -16,7 +18,37 @@ m AS (SELECT qid, term, tf, cf::BIGINT AS cf, cf / n AS m, tf * log2(1 + 0.25 *
 s AS (SELECT qid, term, tf::BIGINT AS tf, cf, (log2(1 + m) + tfn * log2((1 + m) / m)) / (tfn + 1) AS score FROM m)
 """
 
+
+
+def _poly(x: str, c: tuple[float, ...]) -> str:
+    out = repr(c[-1])
+    for k in reversed(c[:-1]):
+        out = f"({out} * {x} + {k!r})"
+    return out
+
+
+def _deviate(p: str) -> str:
+    """The normal deviate of a probability."""
+    q, t = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    near = f"{q} * {_poly(f'(0.180625 - {q} * {q})', fusion.NEAR_A)} / {_poly(f'(0.180625 - {q} * {q})', fusion.NEAR_B)}"
+    mid = f"{_poly(f'({t} - 1.6)', fusion.MID_C)} / {_poly(f'({t} - 1.6)', fusion.MID_D)}"
+    far = f"{_poly(f'({t} - 5.0)', fusion.FAR_E)} / {_poly(f'({t} - 5.0)', fusion.FAR_F)}"
+    return f"CASE WHEN {p} IS NULL THEN NULL WHEN abs({q}) <= 0.425 THEN {near} ELSE sign({q}) * CASE WHEN {t} <= 5.0 THEN {mid} ELSE {far} END END"
+
+
+_SCORES = ("lex_scores", "bm25", "dense_cos", "rel_pos")
+_ORIENTED = ", ".join(f"max(CASE WHEN isnan({c}) THEN NULL ELSE {'-abs(' + c + ')' if c == 'rel_pos' else c} END) AS s{k}" for k, c in enumerate(_SCORES))
+_PLACES = ", ".join(f"CASE WHEN s{k} IS NOT NULL THEN (rank() OVER (PARTITION BY qid ORDER BY s{k} NULLS LAST) - 1 + count(*) OVER (PARTITION BY qid, s{k}) * 0.5::DOUBLE) / count(s{k}) OVER (PARTITION BY qid) END AS p{k}" for k in range(4))
+_FUSED = f"""
+f AS (SELECT qid, pos, {_ORIENTED} FROM features GROUP BY qid, pos),
+p AS (SELECT qid, pos, {_PLACES} FROM f),
+d AS (SELECT qid, pos, {", ".join(f"{_deviate(f'p{k}')} AS d{k}" for k in range(4))} FROM p),
+z AS (SELECT qid, pos, ({" + ".join(f"coalesce(d{k}, 0.0)" for k in range(4))}) / nullif({" + ".join(f"(d{k} IS NOT NULL)::INT" for k in range(4))}, 0) AS fused FROM d)
+"""
+
 ORACLE = {
+    "p5_scores": f"WITH {_FUSED} SELECT qid, pos, round(fused, 6) AS fused FROM z",
+    "p5_found": f"WITH {_FUSED}, r AS (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC NULLS LAST, pos) AS k FROM z) SELECT qid, pos FROM r WHERE k = 1",
     "p1_scores": f"WITH {_TERMS} SELECT qid, term, tf, cf, round(score, 6) AS score FROM s",
     "p1_found": f"WITH {_TERMS}, r AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tf DESC, cf, term) AS k FROM s) SELECT qid, term FROM r WHERE k = 1",
     "p4_found": """

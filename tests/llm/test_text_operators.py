@@ -60,7 +60,7 @@ def test_ids_of_dirty_rows(spark):
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("Ｆｕｌｌ width", "Full width"), ("cafe\u0301", "café"), ("in\u200bdex\u00ad", "index"), ("a\u00a0b\u2009c", "a b c"), ("\u0430\u0441\u0435", "ace"), ("\ufb01le", "file"), ("\u2f42字", "文字"), ("\u1100\u1161\u11a8", "각"), ("\u0627\u0655", "إ"), ("カ\u3099", "ガ"), ("ĳs", "ijs"), ("\u0391\u0392", "AB")],
+    [("Ｆｕｌｌ width", "Full width"), ("cafe\u0301", "café"), ("in\u200bdex\u00ad", "index"), ("a\u00a0b\u2009c", "a b c"), ("\u0430\u0441\u0435", "ace"), ("\ufb01le", "file"), ("\u2f42字", "文字"), ("\u1100\u1161\u11a8", "각"), ("\u0627\u0655", "إ"), ("カ\u3099", "ガ"), ("ĳs", "ijs"), ("\u0391\u0392", "AB"), ("a\u2011b\u2010c", "a-b-c"), ("\u03bd", "v"), ("Ꭰ", "D"), ("ս", "u"), ("\u0261", "g"), ("\u04cf", "\u04cf")],
 )
 def test_same_look_same_form(a, b):
     x, y = lookalikes.one_form_array(pa.array([a, b])).to_pylist()
@@ -89,6 +89,8 @@ def test_look_pairs(spark):
     assert got == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     classes = {r["doc_id"]: (r["class_id"], r["n_docs"], r["n_texts"]) for r in lookalikes.look_classes(df).collect()}
     assert classes == {**dict.fromkeys((1, 2, 3, 4), (1, 4, 3)), 9: (9, 1, 1)}
+    many = spark.createDataFrame([(i, "same") for i in range(300)] + [(1000, "s\u0430me"), (1001, "s\u200bame")], "doc_id long, text string")
+    assert lookalikes.look_pairs(many).distinct().count() == lookalikes.look_pairs(many).count() == 601
     assert lookalikes.look_pairs(df.limit(0)).count() == 0 and lookalikes.look_forms(dirty(spark), "id").count() == 9
 
 
