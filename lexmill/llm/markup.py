@@ -3,9 +3,9 @@
 A scanner finds the spans of notation: code first (nothing inside code is notation of another kind), then the signs
 each notation writes in pairs or at the start of lines. Signs several notations share (list bullets, quote and number
 marks, table bars, a lone #) name no notation by themselves; they are read as whatever notation the text is in.
-Lengths of the lines after stripping make the line-block distribution: sums over a sliding window of lines rise at a
-surge point, where the body begins, and fall at a dive point, where it ends; leftovers of markup outside the body
-(footers, navigation, categories) are dropped, and every line that is structure or never held markup is kept.
+Lengths of the lines after stripping make the line-block distribution: sums over a sliding window of lines surge where
+a body begins and dive where it ends, measured against the text's own average. What lies outside the bodies and held
+markup (footers, navigation, categories) is residue and dropped; structure and lines that never held markup are kept.
 
 Result: the clean text; its blocks (kind, text), kind being text, heading, list, code, formula, table or quote; and the
 notations found. Headings, list items, code and formulas are thus recognizable without any notation.
@@ -26,32 +26,40 @@ from pyspark.sql import DataFrame
 from ._common import map_arrow, pick, spread
 
 HTML, MARKDOWN, WIKI, LATEX = "html", "markdown", "wiki", "latex"
-#: lines of the sliding window, and the least characters in it that belong to a body
-WINDOW, BODY = 3, 40
+#: lines of a block, and the share of an average block from which on a block belongs to a body
+WINDOW, SHARE = 3, 0.25
 
 #: Element names of HTML.
 TAGS = "a|abbr|article|aside|b|big|blockquote|body|br|button|caption|center|cite|code|col|dd|del|details|div|dl|dt|em|figcaption|figure|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|li|link|main|mark|math|meta|nav|nowiki|ol|option|p|pre|q|s|samp|script|section|select|small|span|strike|strong|style|sub|summary|sup|svg|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var|video"
-_TAG = rf"</?(?:{TAGS})(?:\s+[^<>]*)?\s*/?>"
+_TAG = rf"</?(?:{TAGS})(?:[\s/][^<>]*)?>"
 _ANY = re.compile(r"[<&\\$`*_#=\[\]{}|~'>\-]|^\s*\d+[.)]\s", re.M)
 
-_HTML_DEAD = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
-_HTML_CODE = re.compile(r"<pre\b[^>]*>(.*?)</pre\s*>", re.I | re.S)
 _HTML_TAG = re.compile(_TAG, re.I)
+_DOCTYPE = re.compile(r"<!doctype[^<>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
-_FENCE = re.compile(r"^(```+|~~~+)[^\n`]*\n(.*?)(?:^\1[ \t]*$|\Z)", re.M | re.S)
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(.*?)\\end\{\1\}", re.S)
-_WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^>]*>(.*?)</\1\s*>", re.I | re.S)
-
-_TEX_MATH = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath)(\*?)\}(.*?)\\end\{\1\2\}|\\\[(.*?)\\\]|\$\$(.+?)\$\$|\\\((.+?)\\\)", re.S)
-_TEX_INLINE = re.compile(r"(?<![\w$])\$(?=\S)([^$\n]{1,80}?)(?<=\S)\$(?![\w$])")
-_TEX_CMD = re.compile(r"\\(begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?|[ ~]?\\(cite[pt]?|ref|eqref|label|includegraphics|bibliography|input|usepackage|documentclass|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}|\\item\b|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?=\{)|\\[%&_#${}](?!\w)|\\\\(?=\s|$)", re.M)
-_TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|title)\*?(?:\[[^\]\n]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}")
-
-_MD_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$", re.M)
+#: what opens a region that reaches to its own end mark, and that end mark; \1, \2 are groups of the opening
+_FENCE = re.compile(r"^(```+|~~~+)[^\n`]*\n", re.M), r"^\1[ \t]*$"
+_WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>", re.I), r"</\1\s*>"
+_HTML_DEAD = re.compile(r"<(script|style)\b[^<>]*>", re.I), r"</\1\s*>"
+_COMMENT = re.compile(r"<!--"), r"-->"
+_HTML_CODE = re.compile(r"<(pre)\b[^<>]*>", re.I), r"</\1\s*>"
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}"), r"\\end\{\1\}"
+_TEX_MATH = (
+    (re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath)(\*?)\}"), r"\\end\{\1\2\}"),
+    (re.compile(r"\\\["), r"\\\]"),
+    (re.compile(r"\$\$"), r"\$\$"),
+    (re.compile(r"\\\("), r"\\\)"),
+)
+_TEX_INLINE = re.compile(r"(?<![\w$])\$(?=\S)([^$\n]+)(?<=\S)\$(?![\w$])")
+_TEX_CMD = re.compile(r"\\(begin|end)\{[A-Za-z]+\*?\}(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})?|[ ~]?\\(cite[pt]?|ref|eqref|label|includegraphics|bibliography|input|usepackage|documentclass|pageref)\*?(?:\[[^\[\]\n]*\])?\{[^{}\n]*\}|\\item\b|\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?=\{)|\\[%&_#${}](?!\w)|\\\\(?=\s|$)", re.M)
+_TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|title)\*?(?:\[[^\[\]\n]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}")
+
+_MD_ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*)$", re.M)
+_ATX_END = re.compile(r"[ \t]+#+$")
 _MD_SETEXT = re.compile(r"^(?=\S)(?!\s*[#>|*-])([^\n]+)\n(={3,}|-{3,})[ \t]*$", re.M)
 _MD_CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(\s*[^()\s]+(?:\s+\"[^\"\n]*\")?\s*\)")
-_MD_BOLD = re.compile(r"\*\*(?=[^\s*])([^*\n]{1,400}?)(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_])([^_\n]{1,400}?)(?<=[^\s_])__(?!\w)|~~(?=\S)([^~\n]+?)(?<=\S)~~")
+_MD_BOLD = re.compile(r"\*\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_])([^_\n]+)(?<=[^\s_])__(?!\w)|~~(?=\S)([^~\n]+)(?<=\S)~~")
 _MD_RULE = re.compile(r"^\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$", re.M)
 _MD_TASK = re.compile(r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]", re.M)
 
@@ -59,7 +67,9 @@ _WIKI_HEAD = re.compile(r"^(={2,6})(?!=)[ \t]*(\S(?:.*?\S)?)[ \t]*(?<!=)\1[ \t]*
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]")
 _WIKI_META = re.compile(r"\[\[(?:category|kategorie|file|image|datei|catégorie|categoría|categoria)\s*:[^\[\]\n]*\]\]", re.I)
 _WIKI_TEMPLATE = re.compile(r"\{\{(?!\{)([^{}\n]*)\}\}")
-_WIKI_QUOTE = re.compile(r"'''''(?=\S)([^\n]*?\S)'''''|'''(?=\S)([^\n]*?\S)'''(?!')|(?<!')''(?=[^\s'])([^\n]*?[^\s'])''(?!')")
+#: characters without a pair of quote marks, so a mark that stays open is looked at only up to the next pair
+_NO_PAIR = r"(?:[^\n']|'(?!'))"
+_WIKI_QUOTE = re.compile(rf"'''''(?=\S)({_NO_PAIR}+)(?<=\S)'''''|'''(?=\S)((?:{_NO_PAIR}|''(?!'){_NO_PAIR}+''(?!'))+)(?<=\S)'''(?!')|(?<!')''(?=[^\s'])({_NO_PAIR}+)(?<=[^\s'])''(?!')")
 _WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}[ \t]*|\|-[ \t]*|\|\+.*)$", re.M)
 
 _BULLET = re.compile(r"^[ \t]*(?:[-*+•]|\*{1,6}|\d{1,3}[.)])[ \t]+(?=\S)")
@@ -82,51 +92,71 @@ def _math(inner: str) -> bool:
     return depth == 0 and any(c in inner for c in "\\^_{=") and ". " not in inner and not re.search(r"[^\W\d_]{3,} [^\W\d_]{3,}", re.sub(r"\\[A-Za-z]+", "", inner))
 
 
+def paired(text: str, marks: tuple[re.Pattern, str], to_the_end: bool = False) -> list[tuple[int, int, int, int]]:
+    """(from, inner from, inner to, to) of the regions between an opening mark and the next end mark for it. An end mark
+    that was not found once is not sought again, so the work is linear however many marks stay open."""
+    opening, end = marks
+    found, at = [], 0
+    ends: dict[tuple, re.Pattern | None] = {}
+    while m := opening.search(text, at):
+        at, key = m.end(), m.groups()
+        if key not in ends:
+            ends[key] = re.compile(re.sub(r"\\([12])(?!\d)", lambda g: re.escape(m.group(int(g.group(1))) or ""), end) if key else end, re.I | re.M)
+        closing = ends[key] and ends[key].search(text, at)
+        if closing:
+            found.append((m.start(), at, closing.start(), closing.end()))
+            at = closing.end()
+        elif to_the_end:
+            found.append((m.start(), at, len(text), len(text)))
+            break
+        else:
+            ends[key] = None
+    return found
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, str]]]:
     """(signs, regions): spans of notation to remove, and regions (code, formula) to keep whole, each with its notation."""
     signs: list[tuple[int, int, str]] = []
     regions: list[tuple[int, int, str, str]] = []
     hidden = text
 
-    def hide(a: int, b: int) -> None:
+    def blank(part: str) -> str:
+        return re.sub(r"[^\n]", "\x00", part)
+
+    def take(found: list[tuple[int, int, int, int]], kind: str, notation: str) -> None:
+        """Regions (from, inner from, inner to, to) are hidden from all later patterns, in one pass."""
         nonlocal hidden
-        hidden = hidden[:a] + re.sub(r"[^\n]", "\x00", hidden[a:b]) + hidden[b:]
+        out, at = [], 0
+        for lo, a, b, hi in found:
+            if kind:
+                signs.append((lo, a, notation))
+                signs.append((b, hi, notation))
+                regions.append((a, b, kind, notation))
+            else:
+                signs.append((lo, hi, notation))
+            out += [hidden[at:lo], blank(hidden[lo:hi])]
+            at = hi
+        if found:
+            hidden = "".join([*out, hidden[at:]])
 
-    def region(m: re.Match, group: int, kind: str, notation: str) -> None:
-        a, b = m.span(group)
-        signs.append((m.start(), a, notation))
-        signs.append((b, m.end(), notation))
-        regions.append((a, b, kind, notation))
+    def single(pattern: re.Pattern, kind: str, notation: str, good=lambda inner: True) -> None:
+        take([(m.start(), m.start(1), m.end(1), m.end()) for m in pattern.finditer(hidden) if good(m.group(1))], kind, notation)
 
     if "`" in text or "~~~" in text:
-        for m in _FENCE.finditer(text):
-            region(m, 2, "code", MARKDOWN)
-            hide(*m.span())
+        take(paired(hidden, _FENCE, to_the_end=True), "code", MARKDOWN)
     if "<" in hidden:
-        for m in _WIKI_CODE.finditer(hidden):
-            region(m, 2, "code", WIKI)
-            hide(*m.span())
-        for m in _HTML_DEAD.finditer(hidden):
-            signs.append((m.start(), m.end(), HTML))
-            hide(*m.span())
-        for m in _HTML_CODE.finditer(hidden):
-            region(m, 1, "code", HTML)
-            hide(*m.span())
+        take(paired(hidden, _WIKI_CODE), "code", WIKI)
+        take(paired(hidden, _COMMENT), "", HTML)
+        take(paired(hidden, _HTML_DEAD), "", HTML)
+        take([(m.start(), m.start(), m.end(), m.end()) for m in _DOCTYPE.finditer(hidden)], "", HTML)
+        take(paired(hidden, _HTML_CODE), "code", HTML)
     if "\\" in hidden or "$" in hidden:
-        for m in _VERBATIM.finditer(hidden):
-            region(m, 2, "code", LATEX)
-            hide(*m.span())
-        for m in _TEX_MATH.finditer(hidden):
-            region(m, next(g for g in (3, 4, 5, 6) if m.group(g) is not None), "formula", LATEX)
-            hide(*m.span())
-        for m in _TEX_INLINE.finditer(hidden):
-            if _math(m.group(1)):
-                region(m, 1, "inline", LATEX)
-                hide(*m.span())
+        take(paired(hidden, _VERBATIM), "code", LATEX)
+        for marks in _TEX_MATH:
+            take(paired(hidden, marks), "formula", LATEX)
+        single(_TEX_INLINE, "inline", LATEX, _math)
     if "`" in hidden:
-        for m in _MD_CODE.finditer(hidden):
-            region(m, 1, "inline", MARKDOWN)
-            hide(*m.span())
+        single(_MD_CODE, "inline", MARKDOWN)
     if "<" in hidden:
         for m in _HTML_TAG.finditer(hidden):
             signs.append((m.start(), m.end(), HTML))
@@ -138,9 +168,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
         for m in _TEX_CMD.finditer(hidden):
             signs.append((m.start(), m.end(), LATEX))
     if "[[" in hidden:
-        for m in _WIKI_META.finditer(hidden):
-            signs.append((m.start(), m.end(), WIKI))
-            hide(*m.span())
+        take([(m.start(), m.start(), m.end(), m.end()) for m in _WIKI_META.finditer(hidden)], "", WIKI)
         for m in _WIKI_LINK.finditer(hidden):
             signs.append((m.start(), m.start(1), WIKI))
             signs.append((m.end(1), m.end(), WIKI))
@@ -188,8 +216,10 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
         for m in _MD_ATX.finditer(hidden):
             if len(m.group(1)) > 1 or not wiki:
                 signs.append((m.start(), m.start(2), MARKDOWN))
-                if m.end(2) < m.end():
-                    signs.append((m.end(2), m.end(), MARKDOWN))
+                title = m.group(2).rstrip(" \t")
+                end = m.start(2) + (x.start() if (x := _ATX_END.search(title)) else len(title))
+                if end < m.end():
+                    signs.append((end, m.end(), MARKDOWN))
             else:
                 signs.append((m.start(), m.start(2), WIKI))
     return signs, regions
@@ -267,17 +297,25 @@ def clean(text: str | None) -> Result | None:
                 new = "\n\x01" if re.match(r"<h[1-6]", s, re.I) else "\n\x02" if re.match(r"<li", s, re.I) else "\n"
             elif re.match(r"</?t[dh]\b", s, re.I):
                 new = " "
-        elif n == LATEX and len(s) == 2 and s[1] in "%&_#${}":
+        elif n == LATEX and len(s) == 2 and s[0] == "\\" and s[1] in "%&_#${}":
             new = s[1]
         cut.append((a, b, new))
     blocks = sorted((a, b, k) for a, b, k, _ in regions if k != "inline")
     cut.sort()
     lines: list[tuple[str, str, bool]] = []  # kind, clean text, whether it held notation
 
+    done = 0  # parts are stripped in their order, so cuts before them are never looked at again
+
     def strip_part(a: int, b: int) -> str:
+        nonlocal done
+        while done < len(cut) and cut[done][1] <= a and cut[done][0] < a:
+            done += 1
         out, at = [], a
-        for x, y, new in cut:
-            if y <= at and x < at or x >= b:
+        for k in range(done, len(cut)):
+            x, y, new = cut[k]
+            if x >= b:
+                break
+            if y <= at and x < at:
                 continue
             x, y = max(x, at), min(y, b)
             if x > at:
@@ -330,15 +368,45 @@ def clean(text: str | None) -> Result | None:
             lines.append((k, inner.strip() if k == "formula" else inner, False))
         at = b
     passage(at, len(text))
-    # line-block distribution: the body lies between the first surge and the last dive of the windowed lengths
-    size = [len(t) for _, t, _ in lines]
-    sums = [sum(size[max(0, i - WINDOW + 1) : i + WINDOW]) for i in range(len(size))]
-    heavy = [i for i, s in enumerate(sums) if s >= BODY]
-    surge, dive = (heavy[0], heavy[-1]) if heavy else (0, len(lines) - 1)
-    kept = [(k, t) for i, (k, t, held) in enumerate(lines) if surge <= i <= dive or k != "text" or not held]
+    body = between_surge_and_dive([len(t) for _, t, _ in lines])
+    kept = [(k, t) for (k, t, held), inside in zip(lines, body) if inside or k != "text" or not held]
     return Result("\n".join(t for _, t in kept), [k for k, _ in kept], [t for _, t in kept], sorted(found))
 
 
+def between_surge_and_dive(size: list[int], window: int = WINDOW, share: float = SHARE) -> list[bool]:
+    """Which lines belong to a body, by the distribution of text over blocks of `window` lines.
+
+    A block begins at each line. The text surges at a block that holds at least `share` of what the text's blocks hold
+    on average, if neither of the next blocks is empty; it dives at the first block after that which holds less.
+    Lines from the surge to the last line of the last block before the dive are body; there may be several bodies.
+    """
+    n = len(size)
+    run = [0]
+    for x in size:
+        run.append(run[-1] + x)
+    block = [run[min(n, i + window)] - run[i] for i in range(n)]
+    least = share * sum(block) / max(1, n)
+    body = [False] * n
+    i = 0
+    while i < n:
+        if block[i] >= least and block[i] and all(block[i : i + window]):
+            # the block's own first lines may still be the thin ones before the body
+            while size[i] * window < least and i + 1 < n:
+                i += 1
+            j = i
+            while j + 1 < n and block[j + 1] >= least:
+                j += 1
+            # a block reaches over its first line: lines too thin to be text at its end are not body
+            end = min(n, j + window)
+            while end > j + 1 and size[end - 1] * window < least:
+                end -= 1
+            body[i:end] = [True] * (end - i)
+            i = max(end, j + 1)
+        else:
+            i += 1
+    return body
+
+
 def clean_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str | None = None) -> DataFrame:
     """(id, clean STRING, blocks ARRAY<STRUCT<kind, text>>, notations ARRAY<STRING>). A map without a shuffle.
 

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 import unicodedata
 import zlib
 
@@ -132,6 +133,36 @@ def test_residues(t, n):
     assert markup.notations_of(t) == [n]
 
 
+def test_surge_and_dive():
+    thin, text = [8, 0, 9, 0, 7, 0, 0, 0], [120, 90, 150, 110, 80]
+    body = markup.between_surge_and_dive(thin + text + thin[::-1])
+    assert body == [False] * 8 + [True] * 5 + [False] * 8
+    two = markup.between_surge_and_dive(text + [0] * 6 + [5] + [0] * 6 + text)
+    assert two == [True] * 5 + [False] * 13 + [True] * 5
+    assert markup.between_surge_and_dive([]) == [] and markup.between_surge_and_dive([30]) == [True] and not any(markup.between_surge_and_dive([0, 0]))
+    nav = "".join(f"<a href='/{i}'>N{i}</a><br><br><br><br>" for i in range(12))
+    page = f"{nav}<p>{'The body of the page goes on and on. ' * 8}</p><p>{'It has a second paragraph as well. ' * 8}</p>" + nav
+    r = markup.clean(page)
+    assert r.texts[0].startswith("The body") and len(r.texts) == 2  # without the step the links would stay
+
+
+@pytest.mark.parametrize("mark", ["<script>x ", "<!-- a ", "$$ a ", "\\[ a ", "<pre> a ", "```x\n a", "\\begin{align} a ", "<p   ", "# a   ", "'''''a ", "**a ", "[a](", "{{a ", "$a "])
+def test_marks_that_stay_open_cost_no_more_than_others(mark):
+    def took(n):
+        text = mark * n
+        began = time.perf_counter()
+        markup.clean(text)
+        return time.perf_counter() - began
+
+    took(100)
+    assert min(took(16_000) for _ in range(2)) < 12 * max(min(took(4_000) for _ in range(3)), 0.004)
+
+
+def test_display_formula_loses_its_marks():
+    r = markup.clean("Text that stands before it.\n$$ a^{24} + b_k $$\nText after it, and \\$5.")
+    assert r.kinds == ["text", "formula", "text"] and r.texts == ["Text that stands before it.", "a^{24} + b_k", "Text after it, and $5."]
+
+
 def test_mask_keeps_places():
     t = PAGES["markdown"]
     m = markup.mask(t)
