@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import code_points, map_arrow, null_mask, pick, slices, spread, to_strings
+from ._common import code_points, cut, map_arrow, null_mask, pick, slices, spread, to_strings
 
 #: Letters of other scripts drawn like a Latin letter.
 CYRILLIC_LIKE, CYRILLIC_LATIN = "АВЕЅІЈКМНОРСТХаеѕіјорсухԁһԛԝӀԌԚԜѴ", "ABESIJKMHOPCTXaesijopcyxdhqwIGQWV"
@@ -217,7 +217,7 @@ def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     replaced by its rows. No rows are joined that are not a result, so copies of one text cost nothing until they meet
     another one. Rows of a text are spread over SALTS keys in both joins.
     """
-    keys = look_keys(df, id_col, text_col)
+    keys = cut(look_keys(df, id_col, text_col))  # read three times, made once
     texts = keys.groupBy("look", "own").agg(F.count("*").alias("n"))
     mixed = texts.groupBy("look").agg(F.count("*").alias("n_texts")).filter("n_texts > 1").select("look")
     texts = texts.join(mixed, "look", "left_semi").select("look", "own")
