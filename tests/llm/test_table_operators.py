@@ -204,8 +204,22 @@ def test_pairs_lose_nothing(spark, monkeypatch, block):
     assert all(v == pytest.approx(c[k], abs=1e-6) for k, v in got.items())
 
 
+def test_scan_is_the_sum_of_table_entries():
+    rng = np.random.default_rng(2)
+    x = vectors.unit(rng.normal(size=(500, 64))).astype(np.float32)
+    index = vectors.Index([], vectors.train_books(x), [])
+    packed, _, _ = index.encode(x)
+    table = np.einsum("qpd,ped->qpe", x[:20].reshape(20, vectors.PARTS, -1), index.books)
+    codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(500, vectors.PARTS)
+    assert np.allclose(index.scan(x[:20], packed), table[:, np.arange(vectors.PARTS), codes].sum(2), atol=1e-5)
+
+
 def test_neighbours_recall(spark, sf):
-    df = spark.read.parquet("/root/testdata/sf0.01/sent_vectors.parquet")
+    """With production parameters on 14,000 rows, where a query scans less than a tenth of them."""
+    df = spark.read.parquet("/root/testdata/sf0.1/sent_vectors.parquet")
+    index, _ = vectors.build_index(vectors._base(df, "pos", "emb", "encoder"), 64, 1, 1.0)
+    n_cells = len(index.cells[0])
+    assert n_cells > 100 and (9 + n_cells // 60) / n_cells < 0.1
     rows = {r["pos"]: (r["encoder"], r["emb"]) for r in df.collect() if r["emb"] is not None and len(r["emb"]) == 64 and np.isfinite(r["emb"]).all() and any(r["emb"])}
     got = defaultdict(list)
     for r in vectors.nearest(df).collect():

@@ -159,8 +159,8 @@ def test_marks_that_stay_open_cost_no_more_than_others(mark):
 
 
 def test_display_formula_loses_its_marks():
-    r = markup.clean("Text that stands before it.\n$$ a^{24} + b_k $$\nText after it, and \\$5.")
-    assert r.kinds == ["text", "formula", "text"] and r.texts == ["Text that stands before it.", "a^{24} + b_k", "Text after it, and $5."]
+    r = markup.clean("Text that stands before it.\n$$ a^{24} + b_k $$\nText after it, and 5\\% more.")
+    assert r.kinds == ["text", "formula", "text"] and r.texts == ["Text that stands before it.", "a^{24} + b_k", "Text after it, and 5% more."]
 
 
 def test_mask_keeps_places():
