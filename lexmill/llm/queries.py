@@ -86,7 +86,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fused_scores(_read(spark, d, "features")).withColumn("fused", F.round("fused", 6))
+    return fusion.fused_scores(_read(spark, d, "features")).withColumn("fused", F.round("fused", 6) + F.lit(0.0))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -47,7 +47,7 @@ z AS (SELECT qid, pos, ({" + ".join(f"coalesce(d{k}, 0.0)" for k in range(4))})
 """
 
 ORACLE = {
-    "p5_scores": f"WITH {_FUSED} SELECT qid, pos, round(fused, 6) AS fused FROM z",
+    "p5_scores": f"WITH {_FUSED} SELECT qid, pos, round(fused, 6) + 0.0 AS fused FROM z",
     "p5_found": f"WITH {_FUSED}, r AS (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC NULLS LAST, pos) AS k FROM z) SELECT qid, pos FROM r WHERE k = 1",
     "p1_scores": f"WITH {_TERMS} SELECT qid, term, tf, cf, round(score, 6) AS score FROM s",
     "p1_found": f"WITH {_TERMS}, r AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tf DESC, cf, term) AS k FROM s) SELECT qid, term FROM r WHERE k = 1",
