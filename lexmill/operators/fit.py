@@ -78,3 +78,10 @@ def fit(rows: DataFrame, label: str = "label", l2: float = 1.0, shrink: float |
             w, b = w - rate * (g[:-1] / n + l2 * w / n), b - rate * g[-1] / n
         data.unpersist()
     return Weights(tuple(mean.tolist()), tuple(std.tolist()), tuple(np.asarray(w).tolist()), float(b), None, {"l2": float(l2), "l2_shrink": effect, "fit_rows": n, "fit_steps": steps, "fit_lr": rate})
+
+
+def scales(df: DataFrame) -> DataFrame:
+    """(feature, mean, std): of every column, with the population's deviation; one below 1e-6 counts as 1."""
+    row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"), F.when(F.col(f"s{i}") < 1e-6, 1.0).otherwise(F.col(f"s{i}")).alias("std")) for i, c in enumerate(df.columns)])
+    return row.select(F.explode(each).alias("x")).select("x.*")

@@ -87,8 +87,8 @@ def neighbourhood(start: DataFrame, edges: DataFrame, hops: int = 1) -> DataFram
 
     One join with the incidences a hop; visited entities and edges are removed by anti-joins.
     """
-    inc = incidence(edges).distinct()
-    ends = edges.select("id", "s", "o")
+    ends = cut(edges.select("id", "s", "o"))  # read by every hop, made once
+    inc = incidence(ends).distinct()
     front = start.select(F.col("entity").alias("root"), F.col("entity").alias("node")).distinct()
     seen, out = front, None
     for h in range(1, hops + 1):
@@ -123,7 +123,7 @@ def facts(root: str, edges: DataFrame, hops: int = 1, limit: int = 25) -> DataFr
     near = neighbourhood(spark.createDataFrame([(root,)], "entity string"), edges, hops)
     g = edge_groups(edges.join(near, "id").withColumn("cls", F.col("r_lex").isNull() | (F.col("r_lex") == "")).select("cls", "hop", "id", "s", "r", "o"), "cls")
     total = g.count()
-    shown = g.orderBy("cls", "first_id").limit(limit)
+    shown = g.orderBy("cls", "first_id", "s", "r", "o").limit(limit)
     rows = [(0, f"{root} ({total} facts, hops={hops})")]
     n = 0
     for r in shown.select("cls", "line").collect():  # at most `limit` rows

@@ -174,7 +174,7 @@ def decoded(nodes: DataFrame, cells: DataFrame, at: float = 0.5, adjacency: floa
     kept = c.filter((F.col("ei") > at) & (F.col("ej") > at) & (F.col("p") > (at if adjacency is None else adjacency))).select("id", "i", "r", "j", "p", F.lit(False).alias("forced"))
     if not force_first:
         return kept
-    best = c.groupBy("id").agg(F.max_by(F.struct("i", "r", "j", "p"), F.struct(F.col("p") * F.col("ei") * F.col("ej"), -F.col("r"), -F.col("i"), -F.col("j"))).alias("b"))
+    best = c.groupBy("id").agg(F.max_by(F.struct("i", "r", "j", "p"), F.struct(F.round(F.col("p") * F.col("ei") * F.col("ej"), 9), -F.col("r"), -F.col("i"), -F.col("j"))).alias("b"))
     rest = best.join(kept.select("id").distinct(), "id", "left_anti").select("id", "b.i", "b.r", "b.j", "b.p", F.lit(True).alias("forced"))
     return kept.unionByName(rest)
 

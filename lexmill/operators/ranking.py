@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.shared import cut
 
 #: Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -62,8 +63,8 @@ def tokenized(df: DataFrame, text: Column, unicode: bool = True) -> DataFrame:
 
 
 def postings(sentences: DataFrame) -> DataFrame:
-    """(pos, token, tf, len) from (pos, toks)."""
-    return sentences.select("pos", F.size("toks").alias("len"), F.explode("toks").alias("token")).groupBy("pos", "token").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
+    """(pos, token, tf, len) from (pos, toks), partitioned by sentence."""
+    return sentences.select("pos", F.size("toks").alias("len"), "toks").repartition("pos").select("pos", "len", F.explode("toks").alias("token")).groupBy("pos", "token").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
 
 
 def vocabulary(sentences: DataFrame, post: DataFrame) -> DataFrame:
@@ -85,17 +86,29 @@ def question_tokens(questions: DataFrame, sentences: DataFrame, vocab: DataFrame
     return q.withColumn("mass", F.sum("idf").over(Window.partitionBy("qid")))
 
 
+#: question tokens that go to the postings at once; more go in several passes
+TOKENS_TOGETHER = 500_000
+
+
 def text_scores(q: DataFrame, post: DataFrame, avgdl: float | DataFrame | None = None) -> DataFrame:
-    """(qid, pos, lex, bm25): one pass over the matching postings gives both scores."""
-    m = q.join(post, "token")
+    """(qid, pos, lex, bm25): one pass over the matching postings gives both scores.
+
+    The question tokens, of a size that is counted, go to the postings, which lie by sentence: so the postings of a
+    frequent token are spread over all tasks, and the sums by (question, sentence) need no shuffle of the matches.
+    """
+    q = cut(q.select("qid", "token", "idf", "mass"))
+    blocks = max(1, -(-q.count() // TOKENS_TOGETHER))
     if isinstance(avgdl, DataFrame):
-        m = m.join(F.broadcast(avgdl))
-        mean = F.col("avgdl")
-    else:
-        mean = F.lit(float(avgdl if avgdl is not None else Weights().avgdl))
+        avgdl = avgdl.first()["avgdl"]
+    mean = F.lit(float(avgdl if avgdl is not None else Weights().avgdl))
     norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("len") / mean)
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
-    return m.groupBy("qid", "pos").agg((F.sum("idf") / F.max("mass")).alias("lex"), F.sum(part).alias("bm25"))
+    out = None
+    for k in range(blocks):
+        some = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else q
+        m = post.join(F.broadcast(some), "token").groupBy("qid", "pos").agg((F.sum("idf") / F.max("mass")).alias("lex"), F.sum(part).alias("bm25"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def boosted(scores: DataFrame, boost: DataFrame) -> DataFrame:

@@ -71,10 +71,12 @@ def candidate_spans(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return best.groupBy("sent", "entity").agg(F.min("i").alias("i"))
 
 
-#: Grammars by suffix, of the languages a code graph may be asked for.
+#: Grammars by suffix.
 GRAMMARS = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "tsx", "java": "java", "kt": "kotlin", "kts": "kotlin",
-    "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "scala": "scala", "lua": "lua", "sh": "bash",
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx",
+    "java": "java", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "m": "objc", "mm": "objc", "dart": "dart", "scala": "scala", "lua": "lua", "sh": "bash", "bash": "bash", "ex": "elixir",
+    "exs": "elixir", "hs": "haskell", "jl": "julia", "r": "r", "vue": "vue", "svelte": "svelte", "gradle": "groovy", "groovy": "groovy", "zig": "zig",
 }
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import cost, prep
 from lexmill.functions import text as T
-from lexmill.operators import corpus, graph, measures, ranking, reply
+from lexmill.operators import candidates, corpus, fit, graph, measures, ranking, relations, reply
+from lexmill.operators.shared import cut
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,9 +65,10 @@ def purchases(s: SparkSession, d: str) -> DataFrame:
 
 def searchable(s: SparkSession, d: str, unicode: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(sentences with tokens, questions with tokens, postings, question tokens)."""
-    t = ranking.tokenized(with_place(sentences(s, d)).filter("text is not null"), F.col("text"), unicode)
+    # the index: written once, read by the vocabulary, the scores and the features
+    t = cut(ranking.tokenized(with_place(sentences(s, d)).filter("text is not null"), F.col("text"), unicode))
     q = ranking.tokenized(questions(s, d), F.col("question"), unicode)
-    post = ranking.postings(t)
+    post = cut(ranking.postings(t))
     return t, q, post, ranking.question_tokens(q, t, ranking.vocabulary(t, post))
 
 
@@ -240,6 +242,17 @@ def candidate_features(s: SparkSession, d: str) -> DataFrame:
     return f.select("qid", "pos", *[r6(c).alias(c) for c in ranking.FEATURES])
 
 
+@query
+def supported_features(s: SparkSession, d: str) -> DataFrame:
+    """The same with entities, facts and vectors: words of the question are its entities, the given flags and cosines stand in."""
+    short, q, t = _short(s, d)
+    given = features(s, d).select("qid", "pos", F.coalesce("prov_flags", F.lit(False)).cast("double").alias("prov"), "dense_cos", "dense_available")
+    short = short.join(given, ["qid", "pos"], "left").withColumn("prov", F.coalesce("prov", F.lit(0.0))).withColumn("dense_cos", F.when(~F.isnan("dense_cos"), F.col("dense_cos")))
+    q = q.withColumn("ents", F.transform("toks", lambda w: F.array(w)))
+    f = ranking.featurized(short, q, t)
+    return f.select("qid", "pos", *[r6(c).alias(c) for c in ("ent_hits", "provenance", "dense_cos", "dense_missing")])
+
+
 @query
 def learned_rank(s: SparkSession, d: str) -> DataFrame:
     short, q, t = _short(s, d)
@@ -537,7 +550,7 @@ def redacted_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def spaced_digit_texts(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", prep.spaced_digits(F.col("text"), 5, F.coalesce("sonar_lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("text"))
+    return read(s, d, "documents").select("doc_id", prep.spaced_digits(F.col("text"), 5, F.coalesce("sonar_lang", F.lit(""))).alias("text"))
 
 
 @query
@@ -721,6 +734,60 @@ def synthetic_numbers(s: SparkSession, d: str) -> DataFrame:
     return corpus.synthetic_numbers(s, 1_000)
 
 
+@query
+def prose_sample(s: SparkSession, d: str) -> DataFrame:
+    return candidates.prose_sample(read(s, d, "documents").filter("modality = 'prose'"), 500)
+
+
+@query
+def code_fragments(s: SparkSession, d: str) -> DataFrame:
+    return candidates.shuffled_fragments(corpus.code_windows(sentences(s, d).filter("not is_prose")), 200)
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    """(rec, at, entity): words of more than six letters of the questions."""
+    return questions(s, d).select(F.col("qid").alias("rec"), F.posexplode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), F.lit(0))).alias("at", "entity"))
+
+
+@query
+def candidate_lists(s: SparkSession, d: str) -> DataFrame:
+    m = _mentions(s, d)
+    gold = m.filter("at < 2").groupBy("rec").agg(F.min("entity").alias("s"), F.max("entity").alias("o"))
+    return candidates.candidate_lists(m, m.select("entity"), gold)
+
+
+@query
+def text_candidates(s: SparkSession, d: str) -> DataFrame:
+    """The part of the candidates that comes from the text, which does not depend on a draw."""
+    return candidate_lists(s, d).filter("from_text").select("rec", "place", "entity", "exists")
+
+
+@query
+def spare_entities(s: SparkSession, d: str) -> DataFrame:
+    """The pool without the candidates: words of all questions that no question with a budget above 400 has."""
+    rows = questions(s, d).select("budget", F.explode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), F.lit(0))).alias("entity"))
+    return rows.select("entity").distinct().join(rows.filter("budget > 400").select("entity").distinct(), "entity", "left_anti")
+
+
+@query
+def provenance_records(s: SparkSession, d: str) -> DataFrame:
+    t = sentences(s, d).filter("text is not null").select(F.col("pos").alias("rec"), F.col("text").alias("sentence"), F.col("char_offset").alias("offset"))
+    words = t.select("rec", F.regexp_extract_all("sentence", F.lit("[A-Za-z]{4,}"), F.lit(0)).alias("w"), "sentence").filter(F.size("w") > 1)
+    spans = words.select("rec", F.explode("w").alias("entity"), "sentence").select("rec", "entity", (F.expr("instr(sentence, entity)") - 1).alias("start"), (F.expr("instr(sentence, entity)") - 1 + F.length("entity")).alias("end"))
+    triples = words.select("rec", F.element_at("w", 1).alias("s"), F.lit("near").alias("r"), F.element_at("w", -1).alias("o")).unionByName(words.select("rec", F.element_at("w", 1).alias("s"), F.lit("near").alias("r"), F.lit("(memory)").alias("o")))
+    return candidates.provenance_records(triples, spans, t)
+
+
+@query
+def code_languages(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "docs").select("source").distinct().select("source", relations.language(F.col("source")).alias("language"))
+
+
+@query
+def feature_scales(s: SparkSession, d: str) -> DataFrame:
+    return fit.scales(features(s, d).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lex_scores", "bm25", "dense_cos", "rel_pos")])).select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
 # ---- cost ----
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexmill.functions import prep
 from lexmill.functions import text as T
+from lexmill.operators import graph, relations
 from lexmill.operators.ranking import FEATURES, Weights
 
 _W = "[ \\t\\n\\r\\f\\x0B]"
@@ -120,6 +121,40 @@ _NUM = "-?\\d+(?:[.,]\\d+)?"
 _HYP = "regexp_replace(text, '[1-4]', '9', 'g')"
 _CALLS = "c AS (SELECT doc_id, regexp_extract(text, '(?s)CALL (\\{.*?\\})\\n', 1) AS call FROM documents WHERE modality = 'toolcall')"
 
+
+_HEAD = "^(#{1,6})[ \\t]+(.+?)[ \\t]*#*[ \\t]*$"
+
+
+def _split(where: str) -> str:
+    """Sentences of documents with their places: pieces after . ! ? and white space, joined behind abbreviations."""
+    return f"""raw AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({_W})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL AND {where}),
+pc AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM raw),
+po AS (SELECT doc_id, k, x, {_strip('x')} AS body, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pc),
+pb AS (SELECT *, lag(body) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM po WHERE body <> ''),
+pg AS (SELECT *, sum(CASE WHEN prev IS NULL OR NOT regexp_matches(prev, '{T.ABBREVIATION_END}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM pb),
+pm AS (SELECT doc_id, g, min(off + length(x) - length(regexp_replace(x, '^{_W}+', ''))) AS start, max(off + length(regexp_replace(x, '{_W}+$', ''))) AS stop FROM pg GROUP BY doc_id, g),
+sp AS (SELECT doc_id, (g - 1)::INT AS i, start::INT AS start, substr(text, start::INT + 1, (stop - start)::INT) AS piece FROM pm JOIN documents USING (doc_id))"""
+
+
+_HEADS = f"""ln AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE modality = 'prose' AND contains(text, '#')),
+la AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM ln),
+lb AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pl, regexp_matches(line, '^[ \\t]*(```|~~~)') AS fence FROM la),
+lc AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS open, regexp_replace(line, '\\r+$', '') AS bare FROM lb),
+ld AS (SELECT doc_id, pl, length(regexp_extract(bare, '{_HEAD}', 1))::INT AS level, substr({_one_line(f"regexp_replace(regexp_extract(bare, '{_HEAD}', 2), '[\\[\\]*`_]', '', 'g')")}, 1, 40) AS title FROM lc WHERE NOT open AND NOT fence AND regexp_matches(bare, '{_HEAD}')),
+hd AS (SELECT doc_id, pl, level, title FROM (SELECT *, count(*) FILTER (WHERE level = 1) OVER (PARTITION BY doc_id) AS titles FROM ld WHERE title <> '') WHERE level > 1 OR titles <> 1)"""
+_LAST = ", ".join(f"last_value(CASE WHEN level = {k} THEN {x} END IGNORE NULLS) OVER w AS {y}{k}" for k in range(1, 7) for x, y in (("place", "a"), ("title", "t")))
+_PATH = ", ".join(f"CASE WHEN a{k} > greatest(-1{''.join(f', coalesce(a{j}, -1)' for j in range(1, k))}) THEN t{k} END" for k in range(1, 7))
+_FORMS = f"CASE WHEN length(word) <= 3 OR NOT ends_with(word, 's') OR ends_with(word, 'ss') THEN [word] ELSE list_concat([word], list_filter([{_singular('word')}, word[:length(word) - 1], CASE WHEN ends_with(word, 'es') THEN word[:length(word) - 2] ELSE '' END], lambda x: length(x) > 1)) END"
+_GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC)
+_NO_LABEL = ", ".join(f"'{w}'" for w in prep.NO_LABEL)
+_SIG = lambda x: f"(CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END)"
+
+
+def _items(x: str) -> str:
+    """The name and the arguments of a call as key=value, each once."""
+    return f"CASE WHEN json_valid({x}) THEN CASE WHEN json_extract_string({x}, '$.name') IS NOT NULL THEN list_distinct(list_concat(['name=' || json_extract_string({x}, '$.name')], list_transform(coalesce(json_keys({x}, '$.arguments'), []), lambda k: 'arg:' || k || '=' || coalesce(json_extract_string({x}, '$.arguments.\"' || k || '\"'), 'null')))) END END"
+
+
 ORACLE = {
     "doc_token_count": f"SELECT doc_id, {_NTOK.format('text')}::INT AS n FROM documents".replace("greatest(1, length(text) // 4)::INT", "greatest(1, coalesce(length(text) // 4, 1))::INT"),
     "doc_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -198,6 +233,57 @@ s AS (SELECT *, pow(al * omega - mu, 2) / greatest(omega * (1 - omega), 1e-12) A
     "ledger_by_tool": "SELECT event_type AS tool, count(*) AS calls, sum(greatest(1, length(props) // 4))::BIGINT AS served FROM events GROUP BY event_type",
     "ledger_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS tool, count(*) AS calls, sum(greatest(1, length(props) // 4))::BIGINT AS served FROM events GROUP BY 1, 2",
     "cypher_rows": f"WITH {_EDGES} SELECT id, 'MERGE (a:Entity {{name: $s}}) MERGE (b:Entity {{name: $o}}) MERGE (a)-[r:REL {{type: $r, source: $src}}]->(b)' AS query, s, o, r, source AS src FROM e",
+    "sentence_split": f"WITH {_split('TRUE')} SELECT doc_id, i, piece, start FROM sp",
+    "upper_split": f"WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]){_W}+([A-ZÁÉÍÓÚÑ¿¡\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, (i - 1)::INT AS i, p[i] AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM a)",
+    "document_headings": f"WITH {_HEADS} SELECT doc_id, pl AS \"at\", level, title FROM hd",
+    "section_paths": f"""WITH {_split("modality = 'prose'")}, {_HEADS},
+b AS (SELECT doc_id, pl AS place, 0 AS kind, NULL::INT AS i, level, title FROM hd UNION ALL SELECT doc_id, start, 1, i, NULL, NULL FROM sp),
+c AS (SELECT doc_id, i, kind, {_LAST} FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY place, kind, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT 'd' || doc_id || '.md' AS source, i AS sent_idx, concat_ws('{T.SECTION_SEP}', {_PATH}) AS section FROM c WHERE kind = 1""",
+    "capitalized": f"WITH {_S} SELECT pos, array_to_string(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z][\\p{{L}}\\p{{N}}_''\\-]*(?:[\\s\\v\\p{{Z}}]+(?:of|the|de|and|&)?[\\s\\v\\p{{Z}}]*[A-Z][\\p{{L}}\\p{{N}}_''\\-]*)*)', 1), '|') AS names FROM s",
+    "facts_of": f"""WITH {_EDGES}, g AS (SELECT r_lex IS NULL OR r_lex = '' AS cls, s, r, o, min(id) AS first_id, s || ' ' || r || ' ' || o || ' #' || string_agg(id::VARCHAR, ',' ORDER BY id) AS line FROM e WHERE id IN (SELECT id FROM e WHERE s = 'Brand#11' OR o = 'Brand#11') GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (ORDER BY cls, first_id, s, r, o) AS k, count(*) OVER () AS total FROM g), h AS (SELECT * FROM k WHERE k <= 25), m AS (SELECT count(*) FILTER (WHERE NOT cls) AS words, count(*) AS n, coalesce(bool_or(cls), FALSE)::INT AS any_cls, coalesce(max(total), 0) AS total FROM h)
+SELECT 0 AS place, 'Brand#11 (' || total || ' facts, hops=1)' AS line FROM m UNION ALL SELECT (k + cls::INT)::INT, line FROM h
+UNION ALL SELECT (words + 1)::INT, '{graph.DIVIDER}' FROM m WHERE any_cls = 1 UNION ALL SELECT (n + any_cls + 1)::INT, '+' || (total - n) || ' more (raise limit)' FROM m WHERE total > n""",
+    "question_entities": f"""WITH {_TOK}, e AS (SELECT unnest(toks) AS s, source AS o FROM st), dg AS (SELECT entity, count(*) AS degree FROM (SELECT s AS entity FROM e UNION ALL SELECT o FROM e) GROUP BY entity),
+w AS (SELECT qid, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pl FROM (SELECT qid, regexp_extract_all(lower(question), '{_WORD}') AS l FROM q)),
+f AS (SELECT qid, pl, unnest(fs) AS entity, generate_subscripts(fs, 1) AS k FROM (SELECT qid, pl, {_FORMS} AS fs FROM w WHERE word NOT IN ({_GENERIC}))),
+h AS (SELECT qid, pl, arg_min(entity, k) AS entity, arg_min(degree, k) AS degree FROM f JOIN dg USING (entity) GROUP BY qid, pl),
+u AS (SELECT qid, entity, min(pl) AS pl, max(degree) AS degree FROM h WHERE entity NOT IN ({_GENERIC}) GROUP BY qid, entity)
+SELECT qid, entity, place::INT AS place FROM (SELECT qid, entity, row_number() OVER (PARTITION BY qid ORDER BY degree, pl) AS place FROM u) WHERE place <= 3""",
+    "supported_features": f"""{'WITH ' + _SHORT},
+j AS (SELECT sh.qid, sh.pos, len(list_intersect(list_distinct(qt.toks), st.toks)) AS hits, (SELECT count(*) FROM unnest(qt.toks) AS z(w) WHERE list_contains(st.toks, w)) AS all_hits, f.prov_flags, f.dense_cos, f.dense_available
+  FROM sh JOIN qt USING (qid) JOIN st USING (pos) LEFT JOIN (SELECT qid, pos, max(prov_flags) AS prov_flags, max(dense_cos) AS dense_cos, max(dense_available) AS dense_available FROM features GROUP BY qid, pos) f USING (qid, pos))
+SELECT qid, pos, least(all_hits, 3)::DOUBLE AS ent_hits, coalesce(prov_flags, FALSE)::INT::DOUBLE AS provenance,
+  round(CASE WHEN coalesce(dense_available, FALSE) AND dense_cos IS NOT NULL AND NOT isnan(dense_cos) THEN dense_cos ELSE 0.0 END, 6)::DOUBLE AS dense_cos, CASE WHEN coalesce(dense_available, FALSE) THEN 0.0 ELSE 1.0 END::DOUBLE AS dense_missing FROM j""",
+    "summary_grounding": f"""WITH {_MEMBER}, sm AS (SELECT community, string_agg(entity, ' and ' ORDER BY entity) AS summary FROM mb GROUP BY community),
+kn AS (SELECT DISTINCT unnest(regexp_extract_all(lower(entity), '[a-z]{{3,}}')) AS k FROM mb),
+w AS (SELECT community, unnest(l) AS word, generate_subscripts(l, 1) AS pl FROM (SELECT community, regexp_extract_all(lower(summary), '[a-z]{{3,}}') AS l FROM sm)),
+x AS (SELECT *, regexp_replace(word, 's+$', '') AS stem FROM w WHERE word NOT IN ({", ".join(f"'{g}'" for g in graph.GROUNDING_STOP)})),
+y AS (SELECT community, pl, contains('nation', word) OR EXISTS (SELECT 1 FROM mb WHERE mb.community = x.community AND lower(mb.entity) IN (word, stem)) AS ok FROM x WHERE EXISTS (SELECT 1 FROM kn WHERE k IN (word, stem)))
+SELECT community, round(coalesce(avg(ok::INT), 1.0), 6) AS grounding FROM sm LEFT JOIN y USING (community) GROUP BY community""",
+    "decoded_edges": f"""WITH n AS (SELECT l_orderkey AS id, l_linenumber AS i, max(l_quantity / 10 - 2) AS exist FROM lineitem GROUP BY 1, 2),
+c AS (SELECT a.id, 0 AS r, a.i, b.i AS j, {_SIG('a.exist * b.exist - 1')} AS p, {_SIG('a.exist')} AS ei, {_SIG('b.exist')} AS ej FROM n a JOIN n b ON a.id = b.id AND a.i <> b.i),
+k AS (SELECT id, i, r, j, p FROM c WHERE ei > 0.5 AND ej > 0.5 AND p > 0.8),
+t AS (SELECT id, i, r, j, p, row_number() OVER (PARTITION BY id ORDER BY round(p * ei * ej, 9) DESC, r, i, j) AS z FROM c WHERE id NOT IN (SELECT id FROM k))
+SELECT id, i, r, j, round(p, 6) AS p, FALSE AS forced FROM k UNION ALL SELECT id, i, r, j, round(p, 6), TRUE FROM t WHERE z = 1""",
+    "between_labels": f"""WITH {_S}, a AS (SELECT pos, text, pos % 2 = 1 AS turned, strpos(text, ' ') - 1 AS x, length(text) - strpos(reverse(text), ' ') + 1 AS y FROM s WHERE text IS NOT NULL AND strpos(text, ' ') > 0),
+b AS (SELECT pos, turned AND (y > 0 OR length(text) > x) AS reverse, regexp_extract_all(lower(substr(text, x::INT + 1, greatest(y - x, 0)::INT)), '[a-z0-9\\-'']+') AS w FROM a),
+c AS (SELECT pos, regexp_replace(regexp_replace(lower(array_to_string(list_filter(w, lambda q: q NOT IN ({_NO_LABEL}))[1:3], '_')), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS label, list_contains(w, 'by') <> reverse AS swapped FROM b)
+SELECT pos, CASE WHEN label <> '' THEN label END AS label, CASE WHEN label <> '' THEN swapped END AS swapped FROM c""",
+    "code_blocks": "WITH b AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)```(?:\\w+)?[\\s\\v]*\\n(.*?)```', 1) AS l FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [text] END AS l FROM b) SELECT doc_id, unnest(l) AS block, (generate_subscripts(l, 1) - 1)::INT AS i FROM c",
+    "spaced_digit_texts": "WITH d AS (SELECT doc_id, text, coalesce(sonar_lang, '') IN ('jpn_Jpan', 'rus_Cyrl') AS kept, string_split(regexp_replace(text, '(\\d{5,})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents) SELECT doc_id, CASE WHEN kept THEN text ELSE array_to_string(list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '\\d{5,}') THEN trim(regexp_replace(x, '(\\d)', '\\1 ', 'g')) ELSE x END), '') END AS text FROM d",
+    "ingest_counts": "WITH t AS (SELECT DISTINCT source, lite FROM docs), e AS (SELECT source || ': no mode' AS e FROM t WHERE lite IS NULL ORDER BY 1 LIMIT 5) SELECT count(*) FILTER (WHERE lite) AS ingested, count(*) FILTER (WHERE NOT lite) AS replaced, 0::BIGINT AS unchanged, count(*) FILTER (WHERE lite IS NULL) AS failed, (SELECT coalesce(string_agg(e, '; ' ORDER BY e), '') FROM e) AS first_errors FROM t",
+    "toolcall_scores": f"""WITH {_CALLS}, d AS (SELECT doc_id, call, regexp_replace(call, '"limit": [0-9]+', '"limit": 7', 'g') AS other FROM c),
+i AS (SELECT doc_id, call, other, json_valid(call) AS valid, {_items('call')} AS a, {_items('other')} AS b FROM d)
+SELECT doc_id, coalesce(valid, FALSE) AS valid, coalesce(list_sort(a) = list_sort(b), FALSE) AS exact, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1, coalesce(valid AND call = other, FALSE) AS equal FROM i""",
+    "text_candidates": f"WITH {_Q}, w AS (SELECT qid AS rec, unnest(l) AS entity, generate_subscripts(l, 1) - 1 AS pl FROM (SELECT qid, regexp_extract_all(lower(question), '[a-z]{{7,}}') AS l FROM q)), g AS (SELECT rec, min(entity) AS s, max(entity) AS o FROM w WHERE pl < 2 GROUP BY rec), u AS (SELECT rec, entity, min(pl) AS pl FROM w GROUP BY rec, entity), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pl, entity)::INT AS place FROM u) SELECT r.rec, place, entity, coalesce(entity IN (s, o), FALSE) AS exists FROM r LEFT JOIN g USING (rec) WHERE place <= 24",
+    "spare_entities": f"WITH {_Q}, w AS (SELECT budget, unnest(regexp_extract_all(lower(question), '[a-z]{{7,}}')) AS entity FROM q) SELECT DISTINCT entity FROM w WHERE entity NOT IN (SELECT entity FROM w WHERE budget > 400)",
+    "provenance_records": f"""WITH {_S}, w AS (SELECT pos AS rec, text AS sentence, char_offset AS off, regexp_extract_all(text, '[A-Za-z]{{4,}}') AS w FROM s WHERE text IS NOT NULL), t AS (SELECT *, w[1] AS s, w[-1] AS o FROM w WHERE len(w) > 1)
+SELECT rec, s, 'near' AS r, o, sentence, strpos(sentence, s) - 1 + off AS s_start, strpos(sentence, s) - 1 + length(s) + off AS s_end, strpos(sentence, o) - 1 + off AS o_start, strpos(sentence, o) - 1 + length(o) + off AS o_end FROM t
+UNION ALL SELECT rec, s, 'near', '(memory)', sentence, strpos(sentence, s) - 1 + off, strpos(sentence, s) - 1 + length(s) + off, NULL, NULL FROM t""",
+    "code_languages": f"SELECT DISTINCT source, CASE lower(regexp_extract(source, '\\.([A-Za-z0-9]+)$', 1)) {' '.join(f'WHEN {chr(39)}{x}{chr(39)} THEN {chr(39)}{y}{chr(39)}' for x, y in relations.GRAMMARS.items())} END AS language FROM docs",
+    "feature_scales": f"WITH {_F} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-6 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS std FROM f WHERE NOT isnan({c})" for c in ("lex_scores", "bm25", "dense_cos", "rel_pos")),
     "literal_links": f"WITH {_Q}, a AS (SELECT DISTINCT qid AS key, unnest(q_tokens) AS entity FROM questions), b AS (SELECT DISTINCT qid AS key, unnest(regexp_extract_all(question, '\\d+')) AS literal FROM q) SELECT key, entity, 'number' AS kind, literal FROM a JOIN b USING (key) WHERE entity IS NOT NULL",
     "training_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part), c AS (SELECT p_partkey, 6 * n * x * 2 + 4 * 2 * n * x * 2 * 25 + 2 * 3 * n * x * 25 AS a, 6 * n * x * 2 + 6 * 2 * n * x * 2 + 2 * 3 * n * x * 25 AS g, 6 * n * x * 25 * 2 AS t FROM m) SELECT p_partkey, round(a, 3) AS total, round(g, 3) AS graph_total, round(t, 3) AS token_total, round(a / t, 6) AS ratio FROM c",
     "inference_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part) SELECT p_partkey, round(2 * n / 25 + 4 * n, 6) AS concept, round(2 * n, 6) AS token, round(2 * n * x + 2 * x * x * 64, 6) AS context, round(4 * n, 6) AS graph, round(6 * n * x, 6) AS token_graph, round(x * 1008000000.0, 6) AS prefill, round(x / 25 * 1024 * 2, 6) AS state, round(x * 2 * 12 * 64 * 2, 6) AS cache FROM m",

@@ -140,3 +140,8 @@ def send(rows: DataFrame, session_factory) -> None:
                 session.run(d.pop("query"), **d)
 
     rows.foreachPartition(run)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """One line of JSON a row, added to what is there."""
+    rows.write.mode("append").json(path)

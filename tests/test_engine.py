@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.engine import Engine
-from lexmill.operators import corpus, fit, graph, measures, ranking, relations, reply
+from lexmill.operators import candidates, corpus, fit, graph, measures, ranking, relations, reply
 from lexmill.sources import readers, sinks
 from lexmill.streaming import live
 
@@ -332,6 +332,52 @@ def test_engine_with_vectors(spark):
         Engine(spark, vectors=True, encode=lambda texts: [[3.0, 4.0]] * len(texts))
 
 
+def test_candidates(spark):
+    m = spark.createDataFrame([(r, i, f"e{(7 * r + i) % 60}") for r in range(20) for i in range(r * 2)] + [(3, 99, "e21")], "rec int, at int, entity string")
+    pool = spark.createDataFrame([(f"e{i}",) for i in range(60)] + [("e1",)], "entity string")
+    gold = spark.createDataFrame([(3, "e21", "nowhere")], "rec int, s string, o string")
+    got = {}
+    for r in candidates.candidate_lists(m, pool, gold, cap=20, extra=5).orderBy("rec", "place").collect():
+        got.setdefault(r["rec"], []).append(r)
+    for r in range(1, 20):
+        text = list(dict.fromkeys(f"e{(7 * r + i) % 60}" for i in range(r * 2)))[:15]
+        rows = got[r]
+        assert [x["entity"] for x in rows if x["from_text"]] == text and [x["place"] for x in rows] == list(range(1, len(rows) + 1))
+        others = [x["entity"] for x in rows if not x["from_text"]]
+        assert len(set(others)) == len(others) == 5 and not set(others) & set(text)
+        assert {x["entity"] for x in rows if x["exists"]} == ({"e21"} if r == 3 else set())
+    assert candidates.candidate_lists(m, pool.limit(0), gold).filter("not from_text").count() == 0
+    docs = spark.createDataFrame([(i, "A sentence that is long enough to be a unit. Too short. " * 3) for i in range(100)], "doc_id long, text string")
+    one, two = (candidates.prose_sample(docs, 10_000).collect() for _ in range(2))
+    assert one == two and 40 < len(one) < 150 and len(candidates.prose_sample(docs, 7).collect()) == 7
+
+
+def test_metrics_are_appended(spark, tmp_path):
+    for step in range(2):
+        sinks.append_metrics(spark.createDataFrame([(step, 0.5)], "step int, loss double"), str(tmp_path / "m"))
+    assert sorted(r["step"] for r in spark.read.json(str(tmp_path / "m")).collect()) == [0, 1]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from lexmill.operators import shared
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class getCheckpointDir:
+            isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.checkpoint_dir(Cluster)
+
+
 def test_small_tables(spark):
     t = spark.createDataFrame([], "pos long, text string")
     s = ranking.tokenized(t, F.col("text"))
