@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from lexmill.functions import text as T
+from lexmill.operators.shared import value_ranks
 
 NUMBER = r"-?\d+(?:[.,]\d+)?"
 
@@ -41,10 +42,26 @@ def edit_distance(pred: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     return j.groupBy(*by).agg(diff.alias("ged"), F.when(size > 0, diff / size).otherwise(0.0).alias("ged_norm"))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by..., n, one column a share): exact percentiles, interpolated between neighbours. Values are counted and ranked
+    in ranges, so no task holds all values of a group; n counts the values that are not null."""
+    r = value_ranks(df.select(*by, value), by, value)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("n_below") <= place) & (place < F.col("n_below") + F.col("n_same")), F.col(value)))
+
+    ends = []
+    for name, q in shares.items():
+        place = (F.col("n_all") - 1) * F.lit(float(q))
+        ends += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi")]
+    got = r.groupBy(*by).agg(F.max("n_all").alias("n"), *ends)
+    part = lambda q: (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+    return got.select(*by, "n", *[(F.col(f"{k}_lo") * (1 - part(q)) + F.col(f"{k}_hi") * part(q)).alias(k) for k, q in shares.items()])
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., n, median, p10, p90), percentiles interpolated."""
-    p = lambda q: F.percentile(value, q)
-    return df.groupBy(*by).agg(F.count(value).alias("n"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"))
+    return percentiles(df, by, value, {"median": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -155,7 +172,7 @@ def noise_floor(probs: DataFrame, by: list[str], value: str = "p", q: float = 0.
     """(by..., threshold): the quantile of the probabilities and a margin, held to the cap."""
     if relations:
         q = min(q, 1.0 - 1.0 / relations)
-    return probs.groupBy(*by).agg(F.least(F.percentile(value, q) + margin, F.lit(cap)).alias("threshold"))
+    return percentiles(probs, by, value, {"q": q}).select(*by, F.least(F.col("q") + margin, F.lit(cap)).alias("threshold"))
 
 
 def sigmoid(x: Column) -> Column:

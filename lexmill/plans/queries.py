@@ -152,6 +152,15 @@ def section_paths(s: SparkSession, d: str) -> DataFrame:
     return corpus.with_sections(corpus.sentence_table(docs), docs).select("source", "sent_idx", "section")
 
 
+@query
+def ingested(s: SparkSession, d: str) -> DataFrame:
+    """All documents indexed for search by words: (doc_id, n_sentences, n_sections, n_tokens)."""
+    suffix = F.when(F.col("modality") == "prose", ".md").otherwise(".py")
+    docs = read(s, d, "documents").filter("text is not null").select(F.concat(F.lit("d"), F.col("doc_id"), suffix).alias("source"), F.col("doc_id").alias("doc_seq"), "text")
+    t = ranking.tokenized(corpus.with_sections(corpus.sentence_table(docs), docs), F.col("text"))
+    return t.groupBy(F.col("doc_seq").alias("doc_id")).agg(F.count("*").alias("n_sentences"), F.count_if(F.col("section") != "").alias("n_sections"), F.sum(F.size("toks")).alias("n_tokens"))
+
+
 @query
 def code_search_terms(s: SparkSession, d: str) -> DataFrame:
     return sentences(s, d).filter("not is_prose").select("pos", T.code_terms(F.col("text"), F.col("source")).alias("terms"))
