@@ -204,6 +204,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
+def pooled(vectors: Column, mask: Column) -> Column:
+    """One unit vector from a text's token vectors: the mean of those whose mask is not 0; zero where there is none.
+    vectors array<array<number>>, mask array<int>."""
+    used = F.filter(F.zip_with(vectors, mask, lambda v, m: F.when(m != 0, v)), lambda v: v.isNotNull())
+    total = F.aggregate(used, F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    size = norm(total)
+    return F.transform(total, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+
 def unit_defects(vectors: DataFrame, emb: str = "emb", dim: int = 64) -> DataFrame:
     """(encoder, n, wrong_width, off_unit): rows of another width, and rows whose length is 0.01 or more from 1."""
     bad = F.coalesce(F.size(emb), F.lit(-1)) != dim

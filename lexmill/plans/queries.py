@@ -797,6 +797,80 @@ def feature_scales(s: SparkSession, d: str) -> DataFrame:
     return fit.scales(features(s, d).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lex_scores", "bm25", "dense_cos", "rel_pos")])).select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+@query
+def community_gate(s: SparkSession, d: str) -> DataFrame:
+    x = graph.gated(graph.ppmi(purchases(s, d)), _regions(s, d))
+    return x.select("community", "size", r6("cohesion").alias("cohesion"))
+
+
+@query
+def fact_sentences(s: SparkSession, d: str) -> DataFrame:
+    """Sentences that back the facts of an entity, by question: here nations are asked for, and lines of segments are the sentences."""
+    ents = s.createDataFrame([(1, "NATION_3"), (2, "Brand#11"), (3, "nobody")], "qid long, entity string")
+    e = purchases(s, d).filter("pattern is null or pattern <> 'syntax'")
+    t = read(s, d, "customer").select(F.col("c_mktsegment").alias("source")).distinct().withColumn("sent_idx", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    t = t.withColumn("pos", F.concat_ws(":", "source", "sent_idx"))
+    return graph.boost_sentences(ents, e, t)
+
+
+@query
+def candidate_spans(s: SparkSession, d: str) -> DataFrame:
+    """First mentions of the tokens of the questions' vocabulary in sentences."""
+    t = sentences(s, d).filter("text is not null").select(F.col("pos").alias("sent"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    vocab = questions(s, d).select(F.explode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{4,}"), F.lit(0))).alias("token"))
+    return relations.candidate_spans(t, vocab)
+
+
+@query
+def pooled_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Token vectors are the quarters of a row's vector; the third is masked."""
+    v = read(s, d, "sent_vectors").groupBy("pos").agg(F.max("emb").alias("emb")).filter("size(emb) = 64 and forall(emb, x -> x is not null and not isnan(x) and abs(x) < 1e30)")
+    parts = F.array(*[F.slice("emb", 16 * k + 1, 16) for k in range(4)])
+    return v.select("pos", F.transform(ranking.pooled(parts, F.array(*map(F.lit, (1, 1, 0, 1)))), lambda x: F.round(x, 5) + F.lit(0.0)).alias("vector"))
+
+
+@query
+def decoded_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of several formats, made from the nations and their regions, and the texts read from them."""
+    from lexmill.sources import readers
+
+    n, r = F.col("n_name"), F.col("r_name")
+    rows = read(s, d, "nation").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    made = {
+        "html": F.concat(F.lit("<html><head><script>no</script></head><body>out<article><h1>"), n, F.lit("</h1><p>in&nbsp;<b>"), r, F.lit("</b></p><table><tr><td>no</table></article></body></html>")),
+        "rtf": F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}\\f0 "), n, F.lit("\\par in "), r, F.lit("}")),
+        "ipynb": F.to_json(F.struct(F.array(F.struct(F.array(n).alias("source")), F.struct(F.array(F.concat(F.lit("in "), r)).alias("source"))).alias("cells"))),
+        "eml": F.concat(F.lit("Subject: "), n, F.lit("\nFrom: a@b.org\n\nin "), r),
+        "txt": F.concat(n, F.lit("\nin "), r),
+    }
+    files = None
+    for suffix, content in made.items():
+        f = rows.select(F.concat(F.col("n_nationkey").cast("string"), F.lit(f".{suffix}")).alias("source"), F.encode(content, "UTF-8").alias("content"))
+        files = f if files is None else files.unionByName(f)
+    return readers.decode_sources(files)
+
+
+@query
+def fitted_weights(s: SparkSession, d: str) -> DataFrame:
+    """A scorer fitted to tell candidates that back a fact: (feature, weight)."""
+    cols = ("lex_scores", "bm25", "rel_pos")
+    rows = features(s, d).filter(" and ".join(f"{c} is not null and not isnan({c})" for c in cols)).select(*cols, F.coalesce("prov_flags", F.lit(False)).cast("double").alias("label"))
+    w = fit.fit(rows, features=cols, shrink=0.9, steps=200)
+    return s.createDataFrame([(c, float(x)) for c, x in zip(cols, w.w)] + [("bias", float(w.b))], "feature string, weight double")
+
+
+@query
+def dependency_labels(s: SparkSession, d: str) -> DataFrame:
+    """Labels of a made-up parse: each nation sells to the next in active or passive voice."""
+    n = read(s, d, "nation").select(F.col("n_nationkey").alias("sent"), F.col("n_name").alias("name"))
+    active = [("{}", "{}", "PROPN", "NNP", "nsubj", 1), ("sells", "sell", "VERB", "VBZ", "ROOT", 1), ("brands", "brand", "NOUN", "NNS", "dobj", 1)]
+    passive = [("brands", "brand", "NOUN", "NNS", "nsubjpass", 2), ("are", "be", "AUX", "VBP", "auxpass", 2), ("sold", "sell", "VERB", "VBN", "ROOT", 2), ("by", "by", "ADP", "IN", "agent", 2), ("{}", "{}", "PROPN", "NNP", "pobj", 3)]
+    parse = s.createDataFrame([(k, i, *row) for k, rows in enumerate((active, passive)) for i, row in enumerate(rows)], "voice int, i int, text string, lemma string, pos string, tag string, dep string, head int")
+    tokens = n.join(F.broadcast(parse), F.col("sent") % 2 == F.col("voice")).select("sent", "i", *[F.when(F.col(c) == "{}", F.col("name")).otherwise(F.col(c)).alias(c) for c in ("text", "lemma")], "pos", "tag", "dep", "head")
+    pairs = n.select("sent", F.when(F.col("sent") % 2 == 0, 0).otherwise(4).alias("s"), F.when(F.col("sent") % 2 == 0, 2).otherwise(0).alias("o"))
+    return relations.lexicalized(tokens, pairs).select("sent", "s", "o", "label", "pattern", "swapped")
+
+
 # ---- cost ----
 
 

@@ -284,6 +284,17 @@ SELECT rec, s, 'near' AS r, o, sentence, strpos(sentence, s) - 1 + off AS s_star
 UNION ALL SELECT rec, s, 'near', '(memory)', sentence, strpos(sentence, s) - 1 + off, strpos(sentence, s) - 1 + length(s) + off, NULL, NULL FROM t""",
     "code_languages": f"SELECT DISTINCT source, CASE lower(regexp_extract(source, '\\.([A-Za-z0-9]+)$', 1)) {' '.join(f'WHEN {chr(39)}{x}{chr(39)} THEN {chr(39)}{y}{chr(39)}' for x, y in relations.GRAMMARS.items())} END AS language FROM docs",
     "feature_scales": f"WITH {_F} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-6 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS std FROM f WHERE NOT isnan({c})" for c in ("lex_scores", "bm25", "dense_cos", "rel_pos")),
+    "community_gate": f"WITH {_EDGES}, {_PPMI}, {_MEMBER}, c AS (SELECT a.community, avg(weight) AS c FROM w JOIN mb a ON a.entity = u JOIN mb b ON b.entity = v AND a.community = b.community GROUP BY 1), z AS (SELECT mb.community, count(*) AS size, coalesce(any_value(c), 0) AS cohesion FROM mb LEFT JOIN c ON c.community = mb.community GROUP BY 1) SELECT community, size, round(cohesion, 6) AS cohesion FROM z WHERE size >= 5 AND cohesion >= (SELECT avg(weight) FROM w) ORDER BY size DESC, community LIMIT 8",
+    "fact_sentences": f"WITH {_EDGES} SELECT DISTINCT q.qid::BIGINT AS qid, source || ':' || sent_idx AS pos FROM e JOIN (VALUES (1, 'NATION_3'), (2, 'Brand#11'), (3, 'nobody')) q(qid, entity) ON entity IN (s, o)",
+    "candidate_spans": f"""WITH {_S}, {_Q}, v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(question), '[a-z]{{4,}}')) AS token FROM q),
+t AS (SELECT pos AS sent, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT pos, string_split(text, ' ') AS l FROM s WHERE text IS NOT NULL)),
+w AS (SELECT sent, i, lower(regexp_replace(x, '^\\W+|\\W+$', '', 'g')) AS word FROM t),
+f AS (SELECT sent, i, unnest(fs) AS entity, generate_subscripts(fs, 1) AS k FROM (SELECT sent, i, list_filter([word, CASE WHEN ends_with(word, 's') THEN word[:length(word) - 1] END, CASE WHEN ends_with(word, 'es') THEN word[:length(word) - 2] END], lambda z: z IS NOT NULL) AS fs FROM w)),
+b AS (SELECT sent, i, arg_min(entity, k) AS entity FROM f JOIN v ON v.token = entity GROUP BY sent, i)
+SELECT sent, entity, min(i)::INT AS i FROM b GROUP BY sent, entity""",
+    "pooled_vectors": "WITH v AS (SELECT pos, max(emb) AS e FROM sent_vectors GROUP BY pos), g AS (SELECT pos, list_transform(range(1, 17), lambda k: e[k]::DOUBLE + e[k + 16] + e[k + 48]) AS t FROM v WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR abs(x) >= 1e30)) = 0), h AS (SELECT pos, t, sqrt(list_sum(list_transform(t, lambda x: x * x))) AS n FROM g) SELECT pos, list_transform(t, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE 0.0 END, 5) + 0.0) AS vector FROM h",
+    "decoded_files": "WITH n AS (SELECT n_nationkey AS k, n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT k || '.' || x AS source, CASE x WHEN 'ipynb' THEN n || chr(10) || chr(10) || 'in ' || r WHEN 'eml' THEN 'Subject: ' || n || chr(10) || 'From: a@b.org' || chr(10) || chr(10) || 'in ' || r ELSE n || chr(10) || 'in ' || r END AS text, NULL::VARCHAR AS error FROM n, (VALUES ('html'), ('rtf'), ('ipynb'), ('eml'), ('txt')) f(x)",
+    "dependency_labels": "SELECT n_nationkey AS sent, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 4 END AS s, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS o, 'sell' AS label, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS pattern, FALSE AS swapped FROM nation",
     "literal_links": f"WITH {_Q}, a AS (SELECT DISTINCT qid AS key, unnest(q_tokens) AS entity FROM questions), b AS (SELECT DISTINCT qid AS key, unnest(regexp_extract_all(question, '\\d+')) AS literal FROM q) SELECT key, entity, 'number' AS kind, literal FROM a JOIN b USING (key) WHERE entity IS NOT NULL",
     "training_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part), c AS (SELECT p_partkey, 6 * n * x * 2 + 4 * 2 * n * x * 2 * 25 + 2 * 3 * n * x * 25 AS a, 6 * n * x * 2 + 6 * 2 * n * x * 2 + 2 * 3 * n * x * 25 AS g, 6 * n * x * 25 * 2 AS t FROM m) SELECT p_partkey, round(a, 3) AS total, round(g, 3) AS graph_total, round(t, 3) AS token_total, round(a / t, 6) AS ratio FROM c",
     "inference_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part) SELECT p_partkey, round(2 * n / 25 + 4 * n, 6) AS concept, round(2 * n, 6) AS token, round(2 * n * x + 2 * x * x * 64, 6) AS context, round(4 * n, 6) AS graph, round(6 * n * x, 6) AS token_graph, round(x * 1008000000.0, 6) AS prefill, round(x / 25 * 1024 * 2, 6) AS state, round(x * 2 * 12 * 64 * 2, 6) AS cache FROM m",
