@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexmill.functions import prep
 from lexmill.functions import text as T
-from lexmill.operators import graph, relations
+from lexmill.operators import graph, relations, reply
 from lexmill.operators.ranking import FEATURES, Weights
 
 _W = "[ \\t\\n\\r\\f\\x0B]"
@@ -155,6 +155,16 @@ def _items(x: str) -> str:
     return f"CASE WHEN json_valid({x}) THEN CASE WHEN json_extract_string({x}, '$.name') IS NOT NULL THEN list_distinct(list_concat(['name=' || json_extract_string({x}, '$.name')], list_transform(coalesce(json_keys({x}, '$.arguments'), []), lambda k: 'arg:' || k || '=' || coalesce(json_extract_string({x}, '$.arguments.\"' || k || '\"'), 'null')))) END END"
 
 
+_PACKED = f"""{_S}, {_Q}, {_F},
+d AS (SELECT f.qid, f.pos, s.text, {_compact('s.source', 's.text', _shown('s.section'))} AS line, coalesce(q.budget, 600) AS budget, row_number() OVER (PARTITION BY f.qid ORDER BY f.lex_scores DESC, f.pos) AS k
+  FROM f JOIN s USING (pos) JOIN q USING (qid) WHERE NOT isnan(f.lex_scores) AND f.lex_scores > 0 AND s.text IS NOT NULL),
+fold AS (SELECT DISTINCT qid, 0::BIGINT AS k, {len(reply.HEAD)}::BIGINT AS chars, 0 AS skips, 0 AS kept, FALSE AS taken, NULL::BIGINT AS pos, NULL::VARCHAR AS line, []::VARCHAR[] AS seen FROM d
+  UNION ALL SELECT qid, k, CASE WHEN fits THEN chars + length(line) + 1 ELSE chars END, CASE WHEN dup THEN skips WHEN fits THEN 0 ELSE skips + 1 END, kept + fits::INT, fits, pos, line, CASE WHEN fits THEN list_append(seen, text) ELSE seen END
+  FROM (SELECT d.qid, d.k, fold.chars, fold.skips, fold.kept, d.pos, d.line, d.text, fold.seen, list_contains(fold.seen, d.text) AS dup, NOT list_contains(fold.seen, d.text) AND greatest(1, (fold.chars + length(d.line) + 1) // 4) <= d.budget AS fits
+    FROM fold JOIN d ON d.qid = fold.qid AND d.k = fold.k + 1 WHERE fold.skips < {reply.SKIPS})),
+pk AS (SELECT qid, kept AS line_no, pos, line FROM fold WHERE taken)"""
+
+
 ORACLE = {
     "doc_token_count": f"SELECT doc_id, {_NTOK.format('text')}::INT AS n FROM documents".replace("greatest(1, length(text) // 4)::INT", "greatest(1, coalesce(length(text) // 4, 1))::INT"),
     "doc_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -295,6 +305,11 @@ SELECT sent, entity, min(i)::INT AS i FROM b GROUP BY sent, entity""",
     "pooled_vectors": "WITH v AS (SELECT pos, max(emb) AS e FROM sent_vectors GROUP BY pos), g AS (SELECT pos, list_transform(range(1, 17), lambda k: e[k]::DOUBLE + e[k + 16] + e[k + 48]) AS t FROM v WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR abs(x) >= 1e30)) = 0), h AS (SELECT pos, t, sqrt(list_sum(list_transform(t, lambda x: x * x))) AS n FROM g) SELECT pos, list_transform(t, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE 0.0 END, 5) + 0.0) AS vector FROM h",
     "decoded_files": "WITH n AS (SELECT n_nationkey AS k, n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT k || '.' || x AS source, CASE x WHEN 'ipynb' THEN n || chr(10) || chr(10) || 'in ' || r WHEN 'eml' THEN 'Subject: ' || n || chr(10) || 'From: a@b.org' || chr(10) || chr(10) || 'in ' || r ELSE n || chr(10) || 'in ' || r END AS text, NULL::VARCHAR AS error FROM n, (VALUES ('html'), ('rtf'), ('ipynb'), ('eml'), ('txt')) f(x)",
     "dependency_labels": "SELECT n_nationkey AS sent, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 4 END AS s, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS o, 'sell' AS label, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS pattern, FALSE AS swapped FROM nation",
+    "packed_replies": f"WITH RECURSIVE {_PACKED} SELECT qid, line_no::INT AS line_no, pos, line FROM pk",
+    "community_evidence": f"""WITH {_EDGES}, {_PPMI}, {_MEMBER}, i AS (SELECT a.community, u, v, row_number() OVER (PARTITION BY a.community ORDER BY round(n * weight, 9) DESC, u, v) AS place FROM w JOIN mb a ON a.entity = u JOIN mb b ON b.entity = v AND a.community = b.community),
+t AS (SELECT least(s, o) AS u, greatest(s, o) AS v, min(id) AS id FROM e GROUP BY 1, 2), x AS (SELECT t.u, t.v, min(s || ' -' || r || '- ' || o) AS fact, min(s || ' ' || r || ' ' || o) AS text, count(DISTINCT s || r || o) AS ways FROM t JOIN e ON e.id = t.id AND least(s, o) = t.u AND greatest(s, o) = t.v GROUP BY 1, 2)
+SELECT community, place::INT AS place, fact, CASE WHEN place <= 6 THEN substr(text, 1, 140) END AS quote FROM i JOIN x USING (u, v) WHERE place <= 12""",
+    "centroid_cosines": "WITH c AS (SELECT label, k, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k), m AS (SELECT label, list(x ORDER BY k) AS mean FROM c GROUP BY label) SELECT vec_id, label, round(greatest(-1.0, least(1.0, list_inner_product(embedding::DOUBLE[], mean))) / sqrt(list_inner_product(mean, mean)), 6) AS cos FROM embeddings JOIN m USING (label)",
     "literal_links": f"WITH {_Q}, a AS (SELECT DISTINCT qid AS key, unnest(q_tokens) AS entity FROM questions), b AS (SELECT DISTINCT qid AS key, unnest(regexp_extract_all(question, '\\d+')) AS literal FROM q) SELECT key, entity, 'number' AS kind, literal FROM a JOIN b USING (key) WHERE entity IS NOT NULL",
     "training_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part), c AS (SELECT p_partkey, 6 * n * x * 2 + 4 * 2 * n * x * 2 * 25 + 2 * 3 * n * x * 25 AS a, 6 * n * x * 2 + 6 * 2 * n * x * 2 + 2 * 3 * n * x * 25 AS g, 6 * n * x * 25 * 2 AS t FROM m) SELECT p_partkey, round(a, 3) AS total, round(g, 3) AS graph_total, round(t, 3) AS token_total, round(a / t, 6) AS ratio FROM c",
     "inference_cost": "WITH m AS (SELECT p_partkey, p_size * 1000.0::DOUBLE AS n, p_retailprice AS x FROM part) SELECT p_partkey, round(2 * n / 25 + 4 * n, 6) AS concept, round(2 * n, 6) AS token, round(2 * n * x + 2 * x * x * 64, 6) AS context, round(4 * n, 6) AS graph, round(6 * n * x, 6) AS token_graph, round(x * 1008000000.0, 6) AS prefill, round(x / 25 * 1024 * 2, 6) AS state, round(x * 2 * 12 * 64 * 2, 6) AS cache FROM m",
