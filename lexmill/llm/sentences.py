@@ -22,6 +22,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ UNSURE = -3.0
 TRAIN_TEXTS = 3_600
 #: a word counts as an abbreviation from this share of all stops inside units on, so there are at most 1 / share words
 LEAST_SHARE = 1e-5
+#: sums of evidence a worker keeps between two texts
+SUMS_KEPT = 300_000
 #: hashed evidence inside runs without spaces: buckets, and how many to a place
 BUCKETS, RUN_WIDTH = 1 << 20, 11
 
@@ -55,6 +58,7 @@ HAN_KANA = ((0x2E80, 0x3000), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x320
 _LAST_WORD = re.compile(r"([^\W\d_](?:[\w.'’-]*\w)?)[.]\W*$")
 _TAIL = re.compile(r"[\s\xa0]?[.!?。！？।؟]?[”»“’」\")]*[.]?$")
 _WORD = re.compile(r"\w+(?:[.\-'’]\w+)*", re.UNICODE)
+_STATE_MARKS = re.compile("[" + re.escape(OPEN + CLOSE + PLAIN_QUOTES) + "]|\n(?=\n)")
 
 
 def _kind(c: str) -> str:
@@ -87,24 +91,49 @@ def kind(c: str) -> str:
     return k
 
 
+#: classes of characters: letter of an unspaced script, other letter or digit, mark on the character before, white space,
+#: mark that ends a sentence, such a mark or a quotation mark or bracket, small letter, what a small letter may follow as
+#: a new unit's beginning, closing mark, comma
+UNSPACED, WORD, ABOVE, SPACE, FINAL, MARK, LOWER, ENDS, CLOSER, COMMA = (1 << x for x in range(10))
+
+
+def _classes() -> np.ndarray:
+    t = np.zeros(0x32400, np.uint16)
+    for c in range(len(t)):
+        ch = chr(c)
+        k, mine = unicodedata.category(ch), _kind(ch)
+        t[c] = WORD * (k[0] in "LN") | ABOVE * (k[0] == "M") | SPACE * ch.isspace() | LOWER * (mine == "l") | ENDS * (mine in ("E", "Q", "P", "S") or ch in ":;、") | COMMA * (ch == ",")
+    for lo, hi in SOUTHERN + HAN_KANA:
+        t[lo:hi] |= np.where(t[lo:hi] & (WORD | ABOVE) > 0, UNSPACED, 0).astype(np.uint16)
+    for c in END:
+        t[ord(c)] |= FINAL | MARK
+    for c in OPEN + CLOSE + PLAIN_QUOTES:
+        t[ord(c)] |= MARK
+    for c in ")]}）】」』»”":
+        t[ord(c)] |= CLOSER
+    return t
+
+
+_table: list[np.ndarray] = []
+
+
+def character_classes(text: str) -> np.ndarray:
+    if not _table:
+        _table.append(_classes())
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _table[0][np.minimum(c, len(_table[0]) - 1)]
+
+
 def candidates(text: str) -> list[int]:
-    """Places where a unit can begin (the first character that is not white space is not among them)."""
-    out = []
-    last = ""  # the last character that is not white space
-    gap = False
-    for i, c in enumerate(text):
-        if c.isspace():
-            gap = True
-            continue
-        if last:
-            k = kind(last)
-            ends = k in ("E", "Q", "P", "S") or last in ":;、"
-            if gap or k in ("E", "Q"):
-                first = kind(c)
-                if not (first == "l" and not ends) and first not in ("E", ",") and not (c in ")]}）】」』»”" and not gap):
-                    out.append(i)
-        last, gap = c, False
-    return out
+    """Places where a unit can begin (the first character that is not white space is not among them), found for the
+    whole text at once from the classes of its characters."""
+    k = character_classes(text)
+    at = np.flatnonzero(k & SPACE == 0)
+    if len(at) < 2:
+        return []
+    cur, last, gap = k[at[1:]], k[at[:-1]], np.diff(at) > 1
+    ok = (gap | (last & MARK > 0)) & ((cur & LOWER == 0) | (last & ENDS > 0)) & (cur & (FINAL | COMMA) == 0) & (gap | (cur & CLOSER == 0))
+    return at[1:][ok].tolist()
 
 
 def _shape(w: str) -> str:
@@ -112,19 +141,60 @@ def _shape(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s)
 
 
+def _after(after: str, nxt: str, two: str, three: str, first: str) -> list[str]:
+    return [f"f{first}", f"a{after}", f"x{_shape(after)}|{nxt}", f"2{two}", f"3{three}"]
+
+
+def _ending(end2: str, end4: str, g: str) -> list[str]:
+    return [f"e{end2}", f"e4{end4}", f"eg{end4}|{g}"]
+
+
+def _signs(marks: str, closers: str, g: str, first: str, kb: str, num: str, depth: int, mark: str, lead: str, kj: str, p0: str) -> list[str]:
+    sig, d = f"{marks}|{closers}|{g}", f"{min(depth, 2)}{mark}"
+    return [
+        "1", f"g{g}", f"m{marks}", f"c{closers}", f"s{sig}", f"sf{sig}|{first}", f"d{d}", f"dg{d}|{g}{marks}", f"n{num}{kb}|{marks}|{first}",
+        f"L{lead}|{marks}{closers}", f"Lf{lead}|{marks}{closers}|{first}", f"t{kb}{first}{g}", f"k{kj}{first}{g}", f"p{p0}{first}", f"b{marks}|{closers}|{first}|{kb}",
+    ]
+
+
+def _word(before: str, marks: str, first: str) -> list[str]:
+    return [f"w{before}|{marks}", f"wn{before}|{marks}|{first}"]
+
+
+def _both(before: str, marks: str, after: str, closers: str, g: str, lead: str, end2: str, two: str) -> list[str]:
+    return [f"wa{before[-5:]}|{marks}|{after[:5].lower()}", f"am{after}|{marks}{closers}|{g}", f"La{lead}|{closers}|{after[:4]}", f"et{end2}|{two}"]
+
+
+#: evidence by what it is made of, each function with the places of its arguments in a context
+GROUPS = ((_after, (0, 1, 2, 3, 4)), (_ending, (5, 6, 7)), (_signs, (8, 9, 7, 4, 10, 11, 12, 13, 14, 15, 16)), (_word, (17, 8, 4)), (_both, (17, 8, 0, 9, 7, 14, 5, 2)))
+#: places in a row of `features` of the evidence that can single out one sentence; left out of the first model
+PARTICULAR = (1, 2, 4, 6, 7, 25, 26, 27, 28)
+
+
 def features(text: str, places: list[int], short: frozenset[str] = frozenset()) -> list[list[str]]:
-    """Evidence for each place; one pass over the text for the state of quotations and brackets."""
+    """Evidence for each place."""
+    return [[x for f, args in GROUPS for x in f(*[c[k] for k in args])] for c in contexts(text, places, short)]
+
+
+def contexts(text: str, places: list[int], short: frozenset[str] = frozenset()) -> list[tuple]:
+    """What stands around each place; one pass over the text's marks for the state of quotations and brackets."""
     if not places:
         return []
     n = len(text)
     out = []
-    want = set(places)
     stack: list[tuple[str, int]] = []  # open marks and where
     closed = ("", -1, -1)  # the last closed pair: mark, where it opened, where it closed
-    state: dict[int, tuple] = {}
-    for i, c in enumerate(text):
-        if i in want:
-            state[i] = (len(stack), stack[-1][0] if stack else "", closed)
+    state: list[tuple] = []
+    todo = iter(places)
+    place = next(todo)
+    for m in _STATE_MARKS.finditer(text):
+        i = m.start()
+        while place is not None and place <= i:
+            state.append((len(stack), stack[-1][0] if stack else "", closed))
+            place = next(todo, None)
+        if place is None:
+            break
+        c = text[i]
         if c in PLAIN_QUOTES:
             if c == "'" and i and text[i - 1].isalnum() and i + 1 < n and text[i + 1].isalnum():
                 continue
@@ -136,19 +206,18 @@ def features(text: str, places: list[int], short: frozenset[str] = frozenset())
             closed = ("„", stack.pop()[1], i)
         elif c in OPEN:
             stack.append((c, i))
-        elif c in CLOSE and stack:
-            if c == "’" and stack[-1][0] != "‘":
-                continue
-            closed = (stack[-1][0], stack.pop()[1], i)
-        elif c == "\n" and i + 1 < n and text[i + 1] == "\n":
+        elif c in CLOSE:
+            if stack and not (c == "’" and stack[-1][0] != "‘"):
+                closed = (stack[-1][0], stack.pop()[1], i)
+        else:
             stack.clear()  # an unclosed mark does not reach beyond a paragraph
-    for i in places:
+    state += [(len(stack), stack[-1][0] if stack else "", closed)] * (len(places) - len(state))
+    for i, (depth, mark, (_, co, cc)) in zip(places, state):
         j = i - 1
         while text[j].isspace():
             j -= 1
         gap = text[j + 1 : i]
         g = "0" if not gap else "P" if gap.count("\n") > 1 else "N" if "\n" in gap else "2" if len(gap) > 1 else "1" if gap == " " else "n"
-        depth, mark, (cm, co, cc) = state[i]
         # what closes the text before: brackets and quotation marks, then the mark that ends it
         e, closers = j, ""
         while e >= 0 and text[e] in CLOSE + PLAIN_QUOTES and len(closers) < 3:
@@ -183,36 +252,10 @@ def features(text: str, places: list[int], short: frozenset[str] = frozenset())
                 q -= 1
             lead = "^" if q < 0 or text[q] in END or text[q] == "\n" or "\n" in text[q + 1 : co] and text[q] not in ",:" else text[q] if text[q] in ":,：，" else "w"
         num = "9" if before.isdigit() else "i" if len(before) == 1 and before.isalpha() else "a" if "." in before else "w"
-        sig = f"{marks}|{closers}|{g}"
-        f = [
-            "1", f"g{g}", f"m{marks}", f"c{closers}", f"f{first}", f"s{sig}", f"sf{sig}|{first}", f"d{min(depth, 2)}{mark}", f"dg{min(depth, 2)}{mark}|{g}{marks}",
-            f"w{before}|{marks}", f"wn{before}|{marks}|{first}", f"wa{before[-5:]}|{marks}|{after[:5].lower()}", f"n{num}{kb}|{marks}|{first}", f"a{after}", f"am{after}|{marks}{closers}|{g}",
-            f"x{_shape(after)}|{nxt}", f"L{lead}|{marks}{closers}", f"Lf{lead}|{marks}{closers}|{first}", f"La{lead}|{closers}|{after[:4]}",
-            f"2{two}", f"3{three}", f"e{end2}", f"e4{end4}", f"eg{end4}|{g}", f"t{kb}{first}{g}", f"et{end2}|{two}", f"k{kind(text[j])}{first}{g}", f"p{p0}{first}",
-            f"b{marks}|{closers}|{first}|{kb}",
-        ]
-        out.append(f)
+        out.append((after, nxt, two, three, first, end2, end4, g, marks, closers, kb, num, depth, mark, lead, kind(text[j]), p0, before))
     return out
 
 
-def _classes() -> np.ndarray:
-    """Per code point, bits: 1 letter of an unspaced script, 2 other letter or digit, 4 mark on the character before,
-    8 white space, 16 mark that ends a sentence, 32 such a mark or a quotation mark or bracket."""
-    t = np.zeros(0x32400, np.uint8)
-    for c in range(len(t)):
-        ch = chr(c)
-        k = unicodedata.category(ch)
-        t[c] = 2 * (k[0] in "LN") + 4 * (k[0] == "M") + 8 * ch.isspace()
-    for lo, hi in SOUTHERN + HAN_KANA:
-        t[lo:hi] |= (t[lo:hi] & 6 > 0).astype(np.uint8)
-    for c in END:
-        t[ord(c)] |= 48
-    for c in OPEN + CLOSE + PLAIN_QUOTES:
-        t[ord(c)] |= 32
-    return t
-
-
-_table: list[np.ndarray] = []
 _UNSPACED = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi - 1)}" for lo, hi in SOUTHERN + HAN_KANA) + "]")
 _NO_PLACES = np.zeros(0, np.int64), np.zeros((0, RUN_WIDTH), np.int64)
 
@@ -221,27 +264,25 @@ def run_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places inside runs of unspaced scripts, and their evidence as hashed ids, all computed at once."""
     if not _UNSPACED.search(text):
         return _NO_PLACES
-    if not _table:
-        _table.append(_classes())
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    k = _table[0][np.minimum(c, len(_table[0]) - 1)]
+    k = character_classes(text)
     cur, prev = k[1:], k[:-1]
-    ok = (cur & 7 > 0) & (cur & 4 == 0) & (prev & 40 == 0) & ((cur & 1 > 0) | (prev & 1 > 0))
+    ok = (cur & (UNSPACED | WORD) > 0) & (cur & ABOVE == 0) & (prev & (SPACE | MARK) == 0) & ((cur | prev) & UNSPACED > 0)
     at = np.flatnonzero(ok) + 1
     if not len(at):
         return _NO_PLACES
     n = len(c)
     # the run between the nearest white space or closing marks on both sides
-    stop = np.flatnonzero(k & 24 > 0)
+    stop = np.flatnonzero(k & (SPACE | FINAL) > 0)
     right = np.searchsorted(stop, at)
     lo = np.where(right > 0, stop[np.maximum(right - 1, 0)], -1) if len(stop) else np.full(len(at), -1)
     hi = np.where(right < len(stop), stop[np.minimum(right, len(stop) - 1)], n) if len(stop) else np.full(len(at), n)
-    closed = (hi < n) & (k[np.minimum(hi, n - 1)] & 16 > 0)
-    opened = (lo >= 0) & (k[np.maximum(lo, 0)] & 16 > 0)
+    closed = (hi < n) & (k[np.minimum(hi, n - 1)] & FINAL > 0)
+    opened = (lo >= 0) & (k[np.maximum(lo, 0)] & FINAL > 0)
     grade = lambda x: np.floor(2 * np.log2(np.maximum(x, 1))).astype(np.int64)
     whole, before, after = grade(hi - lo - 1), grade(at - lo - 1), grade(hi - at)
     o = c[at]
-    script = np.where((o >= 0x3040) & (o < 0x3100), 1, np.where(k[at] & 1 == 0, 2, np.where(o < 0x2E80, 3, 0)))
+    script = np.where((o >= 0x3040) & (o < 0x3100), 1, np.where(k[at] & UNSPACED == 0, 2, np.where(o < 0x2E80, 3, 0)))
     pad = np.concatenate([np.zeros(4, np.int64), c, np.zeros(4, np.int64)])
     z = [pad[at + 4 + d] for d in range(-4, 4)]  # z[4] is the character at the place
     rows = ((script, whole, closed, opened), (before, after, closed), z[3:5], z[2:4], z[4:6], z[1:4], z[4:7], z[2:6], z[0:4], z[4:8], (*z[3:5], whole, closed))
@@ -261,16 +302,25 @@ class Model:
 
     def __init__(self, weights: dict[str, float], runs: np.ndarray | None, step: np.ndarray, short: frozenset[str] = frozenset()):
         self.weights, self.runs, self.step, self.short = weights, runs, step, short
+        #: sums of weights by group and arguments; emptied between two texts when there are many, which changes no sum
+        self.known: list[dict[tuple, float]] = [{} for _ in GROUPS]
 
     def evidence(self, text: str) -> tuple[list[int], list[float]]:
         """The places of a text and what speaks for a unit's beginning there."""
         places = candidates(text)
+        if sum(map(len, self.known)) > SUMS_KEPT:
+            self.known = [{} for _ in GROUPS]
         get = self.weights.get
+        plan = [(f, itemgetter(*args), memo) for (f, args), memo in zip(GROUPS, self.known)]
         xs = []
-        for f in features(text, places, self.short):
+        for c in contexts(text, places, self.short):
             x = 0.0
-            for a in f:
-                x += get(a, 0.0)
+            for f, pick_args, memo in plan:
+                key = pick_args(c)
+                part = memo.get(key)
+                if part is None:
+                    part = memo[key] = sum([get(a, 0.0) for a in f(*key)])
+                x += part
             xs.append(x)
         at, keys = run_places(text) if self.runs is not None else _NO_PLACES
         if len(at):
@@ -372,10 +422,6 @@ def joined_texts(units: list[tuple[str, str]], n: int, seed: int = 11, asides: l
         yield out, begins
 
 
-#: places in a row of `features` of the evidence that can single out one sentence; left out of the first model
-PARTICULAR = (11, 13, 14, 15, 18, 20, 22, 23, 25)
-
-
 def train(units: list[tuple[str, str]], n_texts: int = TRAIN_TEXTS, seed: int = 11, short: frozenset[str] = frozenset(), asides: list[str] | tuple[str, ...] = (), whole: list[tuple[str, str]] | tuple = ()) -> Model:
     """Two passes. Delivered units are not all whole: a first model, which knows no evidence so particular that it
     could learn a wrong cut by heart, drops those it would cut inside or is sure not to cut off from their neighbours.
