@@ -116,73 +116,74 @@ class Profiles:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}  # row of each word in the three below
+        self.word_grams: list[np.ndarray] = []
+        self.word_dots = np.zeros((0, len(self.names)), np.float32)
+        self.word_sizes = np.zeros(0, np.int64)
         self.kept = 0
         self.ids: dict[str, int] = {g: i for i, g in enumerate(self.worth)}
-        k = len(self.names)
-        self.dots = self.known if self.worth else np.zeros((0, k), np.float32)
+        self.dots = self.known if self.worth else np.zeros((0, len(self.names)), np.float32)
         self.weight = np.fromiter(self.worth.values(), np.float32, len(self.worth))
 
-    def grams_of(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word's n-grams; products of n-grams not met before are computed at once."""
-        fresh: dict[str, list[str]] = {}
-        for w in words:
-            if w not in self.words and w not in fresh:
-                fresh[w] = word_grams(p) if (p := plain_word(w)) else []
-        new = sorted({g for gs in fresh.values() for g in gs if g not in self.ids})
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The words' rows. Of words not met before, the n-grams' products are computed at once, and their sums by word."""
+        fresh = [w for w in words if w not in self.words]
+        grams = [word_grams(p) if (p := plain_word(w)) else [] for w in fresh]
+        new = sorted({g for gs in grams for g in gs if g not in self.ids})
         if new:
             for g in new:
                 self.ids[g] = len(self.ids)
             self.dots = np.concatenate([self.dots, products(new, self.protos)])
             self.weight = np.concatenate([self.weight, np.ones(len(new), np.float32)])
-        for w, gs in fresh.items():
-            self.words[w] = np.array([self.ids[g] for g in gs], np.int64)
-            self.kept += len(gs) + 1
-        return [self.words[w] for w in words]
-
-    def sums(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(part, n-gram, count): the bundle of each part, sorted."""
+        if fresh:
+            ids = [np.array([self.ids[g] for g in gs], np.int64) for gs in grams]
+            size = np.array([len(x) for x in ids])
+            flat = np.concatenate(ids)
+            dots = np.zeros((len(fresh), len(self.names)), np.float32)
+            some = np.flatnonzero(size)
+            if len(some):
+                dots[some] = np.add.reduceat(self.weight[flat][:, None] * self.dots[flat], (np.cumsum(size) - size)[some])
+            for w in fresh:
+                self.words[w] = len(self.words)
+            self.word_grams += ids
+            self.word_dots = np.concatenate([self.word_dots, dots])
+            self.word_sizes = np.concatenate([self.word_sizes, size])
+            self.kept += int(size.sum()) + len(fresh)
+        return np.array([self.words[w] for w in words], np.int64)
+
+    def sums(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bundle of each part: (products with the languages, n-grams); and (part * n-grams known + n-gram, count).
+
+        The product with a language is the sum of the words' products, which are those of their n-grams, exactly.
+        """
         if self.kept > N_KEPT:
             self.forget()
         runs = [_RUN.findall(p) for p in parts]
         flat = [w for ws in runs for w in ws]
+        dot, many = np.zeros((len(parts), len(self.names)), np.float32), np.zeros(len(parts))
         if not flat:
-            none = np.zeros(0, np.int64)
-            return none, none, none
+            return dot, many, np.zeros(0, np.int64), np.zeros(0, np.int64)
         names = sorted(set(flat))
-        at = {w: i for i, w in enumerate(names)}
-        grams = self.grams_of(names)
-        size = np.array([len(g) for g in grams])
-        start = np.cumsum(size) - size
+        at = dict(zip(names, self.rows_of(names).tolist()))
         word = np.array([at[w] for w in flat])
-        part = np.repeat(np.arange(len(parts)), [len(ws) for ws in runs])
-        n = size[word]
-        into = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = np.repeat(part, n) * len(self.ids) + np.concatenate(grams)[into]
-        key, count = np.unique(key, return_counts=True)
-        return key // len(self.ids), key % len(self.ids), count
-
-    def bundled(self, part: np.ndarray, gram: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each part's bundle: the products with the languages, its squared length, and how many n-grams are in it.
-
-        The product with a language is the sum of the n-grams' products, exactly. The length is that of a sum of
-        orthogonal vectors with these counts, which random vectors of so many dimensions nearly are.
-        """
-        dot, square, many = np.zeros((n, len(self.names))), np.zeros(n), np.zeros(n)
-        if len(part):
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            at = part[first]
-            c = count.astype(np.float32) * self.weight[gram]
-            # rounded, as the order of the sum depends on which n-grams were met before
-            dot[at] = np.round(np.add.reduceat(c[:, None] * self.dots[gram], first, dtype=np.float64), 6)
-            square[at] = np.round(np.add.reduceat(c * c, first, dtype=np.float64), 6)
-            many[at] = np.add.reduceat(count, first)
-        return dot, square, many
+        n_words = np.array([len(ws) for ws in runs])
+        some = np.flatnonzero(n_words)
+        first = (np.cumsum(n_words) - n_words)[some]
+        dot[some] = np.add.reduceat(self.word_dots[word], first)
+        n = self.word_sizes[word]
+        many[some] = np.add.reduceat(n, first)
+        grams = np.concatenate([self.word_grams[w] for w in word.tolist()])
+        return dot, many, *np.unique(np.repeat(np.repeat(np.arange(len(parts)), n_words), n) * len(self.ids) + grams, return_counts=True)
+
+    def squares(self, key: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Squared lengths of bundles, as of sums of orthogonal vectors, which random vectors of so many dimensions
+        nearly are. Rounded, as the order of the sum depends on which n-grams were met before."""
+        return np.round(np.bincount(key // len(self.ids), (count * self.weight[key % len(self.ids)].astype(np.float64)) ** 2, minlength=n), 6)
 
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cosine of each text's bundle with each language, and the number of its n-grams."""
-        dot, square, many = self.bundled(*self.sums(texts), len(texts))
-        return dot / np.sqrt(np.maximum(square, 1e-12))[:, None], many
+        dot, many, key, count = self.sums(texts)
+        return dot / np.sqrt(np.maximum(self.squares(key, count, len(texts)), 1e-12))[:, None], many
 
     def stretches_of(self, texts: list[str]) -> list[list[tuple[int, int, int, float, int, float, float]]]:
         """For each text (start, end, language or -1, cosine, n-grams, lead, confidence) by Viterbi over its pieces."""
@@ -196,32 +197,31 @@ class Profiles:
                     parts.append(s)
         if not parts:
             return out
-        part, gram, count = self.sums(parts)
-        dot, square, many = self.bundled(part, gram, count, len(parts))
-        gain = dot * np.sqrt(many / np.maximum(square, 1e-12))[:, None]
-        best = np.where(many > 0, gain.argmax(1), -1)
+        dot, many, key, count = self.sums(parts)
+        gain = dot * np.sqrt(many / np.maximum(self.squares(key, count, len(parts)), 1e-12))[:, None]
         stretch = np.zeros(len(parts), np.int64)
         langs: list[int] = []
         owner = np.array(own)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
-            b = best[lo:hi]
-            heard = b[b >= 0]
-            # pieces that are all of one language are one stretch: no other path has a greater sum
-            tag = [int(heard[0])] * (hi - lo) if len(heard) and (heard == heard[0]).all() else [0] * (hi - lo) if not len(heard) else self._path(gain[lo:hi])
+        # a text whose pieces together lose no more by one language than one change costs stays in that language: no
+        # other path can have a greater sum
+        total = np.add.reduceat(gain, first)
+        one = total.argmax(1)
+        lost = np.add.reduceat(gain.max(1), first) - total[np.arange(len(first)), one]
+        for t, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(own)])):
+            tag = [int(one[t])] * (hi - lo) if lost[t] <= CHANGE else self._path(gain[lo:hi])
             for i in range(lo, hi):
                 if i == lo or tag[i - lo] != tag[i - lo - 1]:
                     langs.append(tag[i - lo])
                 stretch[i] = len(langs) - 1
-        key = stretch[part] * len(self.ids) + gram
+        begin = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
+        key = stretch[key // len(self.ids)] * len(self.ids) + key % len(self.ids)
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
         if len(key):
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             key, count = key[at], np.add.reduceat(count, at)
-        begin = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
-        square = np.round(np.bincount(key // len(self.ids), (count * self.weight[key % len(self.ids)]) ** 2.0, minlength=len(langs)), 6)
-        cos = np.add.reduceat(dot, begin) / np.sqrt(np.maximum(square, 1e-12))[:, None]
+        cos = np.add.reduceat(dot, begin) / np.sqrt(np.maximum(self.squares(key, count, len(langs)), 1e-12))[:, None]
         many = np.add.reduceat(many, begin)
         odds = self.heat * cos * np.sqrt(many)[:, None]
         odds -= odds.max(1, keepdims=True)
