@@ -172,6 +172,23 @@ def test_mix_shares_do_not_depend_on_size(spark, scale):
         assert bool(left) or got <= target + max(x[2] for x in docs) / 2
 
 
+def test_every_stretch_of_the_mix_holds_the_shares(spark):
+    """At each prefix of the slots every source has used the same part of what it has in the whole mix."""
+    rng = random.Random(3)
+    docs = [(i, rng.choices("abcd", (5, 3, 1, 1))[0], rng.randrange(20, 900)) for i in range(6000)]
+    specs = [("a", 40, 3), ("b", 30, 3), ("c", 20, 3), ("d", 10, 3)]
+    d, s = spark.createDataFrame(docs, "doc_id long, source string, n_chars long"), spark.createDataFrame(specs, "name string, pct int, max_repeat int")
+    uses = mixing.mix_schedule(d, s, slot=8192).collect()
+    last, whole = max(u["slot"] for u in uses) + 1, Counter()
+    for u in uses:
+        whole[u["name"]] += u["n_chars"]
+    for share in (0.1, 0.25, 0.5, 0.75):
+        part = Counter()
+        for u in uses:
+            part[u["name"]] += u["n_chars"] * (u["slot"] < share * last)
+        assert all(abs(part[k] / whole[k] - share) < 0.03 for k in whole)
+
+
 def test_mix_of_nothing(spark):
     _, _, d, s = mix_fixture(spark, 5)
     assert mixing.mix_schedule(d.limit(0), s).count() == 0 and mixing.mix_report(d.limit(0), s).count() == 4
