@@ -37,6 +37,8 @@ from .lookalikes import ALIKE
 from .markup import mask
 
 DIM = 4_096
+#: prototypes are rounded to multiples of its inverse
+GRAIN = 1 << 20
 #: price of a change of language between pieces, in units of (cosine * square root of the number of n-grams)
 CHANGE = 0.6
 #: least n-grams and least cosine of a stretch that is evidence for its language, and its least lead over the next; random
@@ -94,10 +96,11 @@ def gram_vectors(grams: list[str]) -> np.ndarray:
 
 
 def products(grams: list[str], protos: np.ndarray) -> np.ndarray:
-    """Cosines of n-grams with the (unit) prototypes."""
+    """Cosines of n-grams with the (unit) prototypes. The prototypes are multiples of 1 / GRAIN, so the sums are exact and
+    the same in whatever company an n-gram is computed."""
     out = np.empty((len(grams), len(protos)), np.float32)
     for lo in range(0, len(grams), 1024):
-        out[lo : lo + 1024] = gram_vectors(grams[lo : lo + 1024]).astype(np.float32) @ protos.T / np.sqrt(DIM)
+        out[lo : lo + 1024] = gram_vectors(grams[lo : lo + 1024]).astype(np.float64) @ protos.T / np.sqrt(DIM)
     return out
 
 
@@ -110,9 +113,9 @@ class Profiles:
     """
 
     def __init__(self, names: list[str], protos: np.ndarray, worth: dict[str, float], heat: float = 1.0, known: np.ndarray | None = None):
-        self.names, self.protos, self.worth, self.heat = names, protos, worth, heat
+        self.names, self.protos, self.worth, self.heat = names, np.round(protos.astype(np.float64) * GRAIN) / GRAIN, worth, heat
         #: products of the n-grams of `worth`, in its order
-        self.known = products(list(worth), protos) if known is None and worth else known
+        self.known = products(list(worth), self.protos) if known is None and worth else known
         self.forget()
 
     def forget(self) -> None:
