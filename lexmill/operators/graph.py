@@ -228,7 +228,7 @@ def evidence(triples: DataFrame, weights: DataFrame, member: DataFrame, edges_ea
     inside = salience(weights).join(member.toDF("u", "community"), "u").join(member.toDF("v", "cv"), "v").filter("community = cv")
     w = Window.partitionBy("community").orderBy(F.round("salience", 9).desc(), "u", "v")
     top = inside.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= edges_each)
-    first = triples.groupBy(F.least("s", "o").alias("u"), F.greatest("s", "o").alias("v")).agg(F.min_by(F.struct("s", "r", "o", "text"), "id").alias("t"))
+    first = triples.groupBy(F.least("s", "o").alias("u"), F.greatest("s", "o").alias("v")).agg(F.min(F.struct("id", "s", "r", "o", "text")).alias("t"))
     return top.join(first, ["u", "v"]).select("community", "place", F.concat(F.col("t.s"), F.lit(" -"), F.col("t.r"), F.lit("- "), F.col("t.o")).alias("fact"), F.when(F.col("place") <= quotes_each, F.substring("t.text", 1, 140)).alias("quote"))
 
 

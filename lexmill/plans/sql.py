@@ -307,7 +307,7 @@ SELECT sent, entity, min(i)::INT AS i FROM b GROUP BY sent, entity""",
     "dependency_labels": "SELECT n_nationkey AS sent, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 4 END AS s, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS o, 'sell' AS label, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS pattern, FALSE AS swapped FROM nation",
     "packed_replies": f"WITH RECURSIVE {_PACKED} SELECT qid, line_no::INT AS line_no, pos, line FROM pk",
     "community_evidence": f"""WITH {_EDGES}, {_PPMI}, {_MEMBER}, i AS (SELECT a.community, u, v, row_number() OVER (PARTITION BY a.community ORDER BY round(n * weight, 9) DESC, u, v) AS place FROM w JOIN mb a ON a.entity = u JOIN mb b ON b.entity = v AND a.community = b.community),
-t AS (SELECT least(s, o) AS u, greatest(s, o) AS v, min(id) AS id FROM e GROUP BY 1, 2), x AS (SELECT t.u, t.v, min(s || ' -' || r || '- ' || o) AS fact, min(s || ' ' || r || ' ' || o) AS text, count(DISTINCT s || r || o) AS ways FROM t JOIN e ON e.id = t.id AND least(s, o) = t.u AND greatest(s, o) = t.v GROUP BY 1, 2)
+t AS (SELECT least(s, o) AS u, greatest(s, o) AS v, min(id) AS id FROM e GROUP BY 1, 2), x AS (SELECT t.u, t.v, arg_min(s || ' -' || r || '- ' || o, s || chr(1) || r || chr(1) || o) AS fact, arg_min(s || ' ' || r || ' ' || o, s || chr(1) || r || chr(1) || o) AS text FROM t JOIN e ON e.id = t.id AND least(s, o) = t.u AND greatest(s, o) = t.v GROUP BY 1, 2)
 SELECT community, place::INT AS place, fact, CASE WHEN place <= 6 THEN substr(text, 1, 140) END AS quote FROM i JOIN x USING (u, v) WHERE place <= 12""",
     "centroid_cosines": "WITH c AS (SELECT label, k, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k), m AS (SELECT label, list(x ORDER BY k) AS mean FROM c GROUP BY label) SELECT vec_id, label, round(greatest(-1.0, least(1.0, list_inner_product(embedding::DOUBLE[], mean))) / sqrt(list_inner_product(mean, mean)), 6) AS cos FROM embeddings JOIN m USING (label)",
     "literal_links": f"WITH {_Q}, a AS (SELECT DISTINCT qid AS key, unnest(q_tokens) AS entity FROM questions), b AS (SELECT DISTINCT qid AS key, unnest(regexp_extract_all(question, '\\d+')) AS literal FROM q) SELECT key, entity, 'number' AS kind, literal FROM a JOIN b USING (key) WHERE entity IS NOT NULL",
