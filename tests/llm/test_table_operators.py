@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lexmill.llm import distinctive, fusion, mixing, packing, vectors
@@ -231,6 +233,44 @@ def test_scan_is_the_sum_of_table_entries():
     assert np.allclose(index.scan(x[:20], packed), table[:, np.arange(vectors.PARTS), codes].sum(2), atol=1e-5)
 
 
+def test_pairs_shuffle_no_vector_by_cell(spark, tmp_path):
+    """Eight copies of every vector would be more than eight times the input."""
+    rng = np.random.default_rng(5)
+    emb = rng.normal(size=(20_000, 64)).astype(np.float32)
+    emb[1::100] = emb[::100]
+    path = str(tmp_path / "v.parquet")
+    pq.write_table(pa.table({"pos": np.arange(20_000), "emb": pa.FixedSizeListArray.from_arrays(pa.array(emb.ravel()), 64).cast(pa.list_(pa.float32())), "encoder": ["a"] * 20_000}), path)
+    df = spark.read.parquet(path)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(x.shuffleWriteBytes() for x in (lambda xs: [xs.apply(i) for i in range(xs.size())])(store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    assert vectors.similar_pairs(df).count() == 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < written() - before < 4 * 20_000 * 256
+
+
+def test_codes_in_cells_bound_every_pair():
+    """What the cells see of two vectors differs from their product by no more than is added to it, however near the cosine."""
+    rng = np.random.default_rng(8)
+    x = vectors.unit(rng.normal(size=(4000, 64))).astype(np.float32)
+    side = rng.normal(size=x.shape)
+    side = vectors.unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = (0.9 * x + math.sqrt(0.19) * side).astype(np.float32)
+    books = vectors.train_books(x)
+    left = x - vectors.decode(vectors.score_aware_codes(x, books), books)
+    index = vectors.Index([], books, [], vectors.STEP * float(left.std()))
+    near, towards, whole = [], [], []
+    for v in (x, y):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(["a"] * 4000), pa.array(v.tolist(), pa.list_(pa.float32()))], ["pos", "enc", "emb"])
+        _, recs, _ = vectors._records(batch, index, 64, math.sqrt(0.19))
+        near.append(index.refined(recs["code"], recs["fine"]))
+        towards.append(recs["towards"].astype(float))
+        whole.append(recs["whole"].astype(float))
+    bound = towards[0] + towards[1] + whole[0] * whole[1]
+    assert ((near[0] * near[1]).sum(1) + bound >= 0.9 - 1e-5).all() and bound.mean() < 0.06
+
+
 def test_neighbours_recall(spark, sf):
     """With production parameters on 14,000 rows, where a query scans less than a tenth of them."""
     df = spark.read.parquet("/root/testdata/sf0.1/sent_vectors.parquet")
