@@ -90,6 +90,13 @@ def question_tokens(questions: DataFrame, sentences: DataFrame, vocab: DataFrame
 TOKENS_TOGETHER = 500_000
 
 
+def bm25_part(avgdl: float | None = None) -> Column:
+    """What a token adds to bm25, over idf, tf and len."""
+    mean = F.lit(float(avgdl if avgdl is not None else Weights().avgdl))
+    norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("len") / mean)
+    return F.col("idf") * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
+
+
 def text_scores(q: DataFrame, post: DataFrame, avgdl: float | DataFrame | None = None) -> DataFrame:
     """(qid, pos, lex, bm25): one pass over the matching postings gives both scores.
 
@@ -100,9 +107,7 @@ def text_scores(q: DataFrame, post: DataFrame, avgdl: float | DataFrame | None =
     blocks = max(1, -(-q.count() // TOKENS_TOGETHER))
     if isinstance(avgdl, DataFrame):
         avgdl = avgdl.first()["avgdl"]
-    mean = F.lit(float(avgdl if avgdl is not None else Weights().avgdl))
-    norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("len") / mean)
-    part = F.col("idf") * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + norm)
+    part = bm25_part(avgdl)
     out = None
     for k in range(blocks):
         some = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else q
@@ -111,6 +116,84 @@ def text_scores(q: DataFrame, post: DataFrame, avgdl: float | DataFrame | None =
     return out
 
 
+def asked_postings(sentences: DataFrame, questions: DataFrame) -> DataFrame:
+    """`postings` of the tokens that occur in a question, without a shuffle where the sentences lie by `pos`."""
+    asked = cut(questions.select(F.explode("toks").alias("token")).distinct())
+    if asked.count() <= TOKENS_TOGETHER:
+        asked = F.broadcast(asked)
+    words = sentences.select("pos", F.size("toks").alias("len"), F.explode("toks").alias("token")).join(asked, "token", "left_semi")
+    return words.groupBy("pos", "token").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"))
+
+
+def kinds(q: DataFrame, width: DataFrame) -> DataFrame:
+    """(qid, sid, width): questions with the same known tokens and as many unknown ones have the same scores everywhere; sid
+    is the least qid of those. Questions without a known token are left out. q as `question_tokens`; width (qid, width)."""
+    have = q.groupBy("qid").agg(F.sort_array(F.collect_set(F.when(F.col("known"), F.col("token")))).alias("have"), F.count("*").alias("n")).filter(F.size("have") > 0)
+    return have.join(width, "qid").select("qid", F.min("qid").over(Window.partitionBy("have", "n")).alias("sid"), "width")
+
+
+def best(q: DataFrame, post: DataFrame, kind: DataFrame, by: str = "lex", avgdl: float | DataFrame | None = None) -> DataFrame:
+    """(sid, pos, <by>, rank): the first sentences, by a score of nine digits, then pos, of each kind of question; as many
+    as the most that a question of the kind wants.
+
+    Every sentence is considered, but none is met that cannot be among the first: sentences with the same asked tokens
+    (for bm25 as often, and of one length) have the same score for every question, so such a group is scored once, and
+    no more of it counts than its first sentences. A group is passed over only if enough sentences are strictly better.
+    q as `question_tokens`, post as `asked_postings`, kind as `kinds`; post and kind are read several times.
+    """
+    want = kind.groupBy("sid").agg(F.max("width").alias("want"))
+    most = int(kind.agg(F.max("width")).first()[0] or 0)
+    own = q.filter("known").join(want.select(F.col("sid").alias("qid")), "qid", "left_semi")
+    marks = post.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("token", "tf"))).alias("marks"), F.max("len").alias("len"))
+    same = Window.partitionBy(*([F.col("marks")["token"]] if by == "lex" else ["marks", "len"])).orderBy("pos")
+    groups = marks.withColumn("turn", F.row_number().over(same)).withColumn("gid", F.first("pos").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    groups = cut(groups.filter(F.col("turn") <= most).select("gid", "pos", "turn", F.when(F.col("turn") == 1, F.col("marks")).alias("marks"), "len"))
+    heads = groups.filter("turn = 1").select("pos", "len", "marks").repartition("pos").select("pos", "len", F.explode("marks").alias("m")).select("pos", "len", "m.token", "m.tf")
+    got = text_scores(own, heads, avgdl).select(F.col("qid").alias("sid"), F.col("pos").alias("gid"), F.round(by, 9).alias(by))
+    # the first of W groups, by their first sentences, are W sentences ahead of any other group
+    first = Window.partitionBy("sid").orderBy(F.col(by).desc(), "gid")
+    got = got.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most).join(groups.groupBy("gid").agg(F.count("*").alias("n")), "gid").join(want, "sid")
+    ahead = F.expr(f"sum(n) over (partition by sid order by -{by} range between unbounded preceding and 5.0E-10D preceding)")
+    got = got.withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter("ahead < want")
+    each = got.join(groups.select("gid", "pos", "turn"), "gid").filter("ahead + turn <= want")
+    place = Window.partitionBy("sid").orderBy(F.col(by).desc(), "pos")
+    return each.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).filter("rank <= want").select("sid", "pos", by, "rank")
+
+
+def spread(rows: DataFrame, kind: DataFrame) -> DataFrame:
+    """Rows of each kind of question (sid, ...) for its questions (qid, sid[, width])."""
+    out = rows.join(kind, "sid")
+    return (out.filter("rank <= width").drop("width") if "width" in kind.columns else out).drop("sid")
+
+
+def short_width() -> Column:
+    return F.greatest(F.lit(SHORTLIST), F.floor(F.coalesce(F.col("budget"), F.lit(600)) / TOKENS_A_SLOT).cast("int"))
+
+
+def best_shortlist(q: DataFrame, post: DataFrame, questions: DataFrame, avgdl: float | DataFrame | None = None) -> DataFrame:
+    """(qid, pos, lex, bm25, rank): `shortlist` of `text_scores` of nine digits, found by `best`; bm25 is summed for these alone."""
+    kind = cut(kinds(q, questions.select("qid", short_width().alias("width"))))
+    top = cut(best(q, post, kind).filter("lex > 0"))
+    if isinstance(avgdl, DataFrame):
+        avgdl = avgdl.first()["avgdl"]
+    own = q.filter("known").join(kind.select(F.col("sid").alias("qid")).distinct(), "qid", "left_semi").select(F.col("qid").alias("sid"), "token", "idf")
+    held = top.select("sid", "pos").join(post, "pos").join(own, ["sid", "token"])
+    bm25 = held.groupBy("sid", "pos").agg(F.round(F.sum(bm25_part(avgdl)), 9).alias("bm25"))
+    return spread(top.join(bm25, ["sid", "pos"]), kind).select("qid", "pos", "lex", "bm25", "rank")
+
+
+def alike(questions: DataFrame, q: DataFrame, *more: Column) -> DataFrame:
+    """(qid, sid): questions that agree in all that `text_scores` and `featurized` (without entities) read of them, and in
+    `more`; sid is the least qid of those. questions (qid, question, toks, ...); q as `question_tokens`."""
+    have = q.groupBy("qid").agg(F.sort_array(F.collect_set(F.when(F.col("known"), F.col("token")))).alias("have"), F.count("*").alias("n"))
+    d = questions.join(have, "qid", "left")
+    known = F.transform("toks", lambda w: F.when(F.array_contains("have", w), w).otherwise(""))
+    pairs = F.filter(T.bigrams(known), lambda p: ~(p.startswith(" ") | p.endswith(" ")))
+    keys = [F.col("have"), F.col("n"), F.array_sort(F.array_distinct(pairs)), F.size(F.array_distinct(T.bigrams(F.col("toks")))), T.asks_quantity(F.col("question")), *more]
+    d = d.select("qid", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return d.select("qid", F.min("qid").over(Window.partitionBy(*[f"k{i}" for i in range(len(keys))])).alias("sid"))
+
+
 def boosted(scores: DataFrame, boost: DataFrame) -> DataFrame:
     """Adds the bonus to sentences that back a retrieved fact; those without a shared token get the bonus alone."""
     return scores.join(boost.select("qid", "pos").distinct().withColumn("prov", F.lit(1.0)), ["qid", "pos"], "full_outer").select("qid", "pos", (F.coalesce("lex", F.lit(0.0)) + F.coalesce("prov", F.lit(0.0)) * PROVENANCE_BONUS).alias("lex"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("prov", F.lit(0.0)).alias("prov"))
@@ -125,9 +208,8 @@ def ranked(df: DataFrame, score: str, k: int | Column | None = None, out: str =
 
 def shortlist(scores: DataFrame, questions: DataFrame) -> DataFrame:
     """The best max(60, budget / 10) sentences of each question with a score above 0."""
-    width = F.greatest(F.lit(SHORTLIST), F.floor(F.coalesce(F.col("budget"), F.lit(600)) / TOKENS_A_SLOT).cast("int"))
     r = ranked(scores.filter("lex > 0"), "lex")
-    return r.join(questions.select("qid", width.alias("width")), "qid").filter("rank <= width").drop("width")
+    return r.join(questions.select("qid", short_width().alias("width")), "qid").filter("rank <= width").drop("width")
 
 
 def featurized(short: DataFrame, questions: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -138,8 +220,8 @@ def featurized(short: DataFrame, questions: DataFrame, sentences: DataFrame) ->
     """
     have = set(short.columns)
     q = questions.select("qid", F.array_distinct("toks").alias("q_toks"), F.array_distinct(T.bigrams(F.col("toks"))).alias("q_bi"), T.asks_quantity(F.col("question")).alias("quantity"), (F.col("ents") if "ents" in questions.columns else F.array().cast("array<array<string>>")).alias("ents"))
-    s = sentences.select("pos", "text", "toks", "rel_pos")
-    d = short.join(q, "qid").join(s, "pos")
+    s = sentences.select("pos", F.col("text").rlike("[0-9]").alias("digits"), "toks", "rel_pos")
+    d = short.join(s, "pos").join(q, "qid")
     whole = Window.partitionBy("qid")
     share = lambda c: F.when(F.max(c).over(whole) > 0, F.col(c) / F.max(c).over(whole)).otherwise(0.0)
     n_q, n_bi = F.size("q_toks"), F.size("q_bi")
@@ -159,7 +241,7 @@ def featurized(short: DataFrame, questions: DataFrame, sentences: DataFrame) ->
         F.when(avail, 0.0).otherwise(1.0).alias("dense_missing"),
         (F.log(F.greatest(F.size("toks"), F.lit(1)).cast("double")) - F.log(F.lit(float(LENGTH_CENTER)))).alias("len_log"),
         F.col("rel_pos").cast("double").alias("rel_pos"),
-        F.when(F.col("quantity") & F.col("text").rlike("[0-9]"), 1.0).otherwise(0.0).alias("numeric_match"),
+        F.when(F.col("quantity") & F.col("digits"), 1.0).otherwise(0.0).alias("numeric_match"),
     )
 
 

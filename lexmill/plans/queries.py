@@ -72,6 +72,14 @@ def searchable(s: SparkSession, d: str, unicode: bool) -> tuple[DataFrame, DataF
     return t, q, post, ranking.question_tokens(q, t, ranking.vocabulary(t, post))
 
 
+def asked(s: SparkSession, d: str, unicode: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sentences with tokens, questions with tokens, postings of the questions' tokens, question tokens)."""
+    t = ranking.tokenized(sentences(s, d).filter("text is not null"), F.col("text"), unicode)
+    q = cut(ranking.tokenized(questions(s, d), F.col("question"), unicode))
+    post = cut(ranking.asked_postings(t, q))
+    return t, q, post, cut(ranking.question_tokens(q, t, ranking.vocabulary(t, post)))
+
+
 # ---- text ----
 
 
@@ -234,9 +242,25 @@ def boosted_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def _short(s: SparkSession, d: str, unicode: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t, q, post, toks = searchable(s, d, unicode)
-    x = ranking.text_scores(toks, post).withColumn("lex", F.round("lex", 9)).withColumn("bm25", F.round("bm25", 9))
-    return ranking.shortlist(x, q), q, t
+    _, q, post, toks = asked(s, d, unicode)
+    return ranking.best_shortlist(toks, post, q), q, placed(s, d, unicode)
+
+
+def placed(s: SparkSession, d: str, unicode: bool) -> DataFrame:
+    return ranking.tokenized(with_place(sentences(s, d).filter("text is not null")), F.col("text"), unicode)
+
+
+def _alike(s: SparkSession, d: str, unicode: bool = False, replies: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(shortlists, questions, sentences, (qid, sid)): one question of those that are alike; with `replies`, in the budget too."""
+    _, q, post, toks = asked(s, d, unicode)
+    kind = cut(ranking.alike(q, toks, F.coalesce("budget", F.lit(600)) if replies else ranking.short_width()))
+    one = kind.filter("qid = sid").select("qid")
+    q = cut(q.join(one, "qid", "left_semi"))
+    return cut(ranking.best_shortlist(toks.join(one, "qid", "left_semi"), post, q)), q, placed(s, d, unicode), kind
+
+
+def _spread(rows: DataFrame, kind: DataFrame) -> DataFrame:
+    return ranking.spread(rows.withColumnRenamed("qid", "sid"), kind).select(*rows.columns)
 
 
 @query
@@ -246,9 +270,14 @@ def shortlist(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def candidate_features(s: SparkSession, d: str) -> DataFrame:
-    short, q, t = _short(s, d)
-    f = ranking.featurized(short, q, t)
-    return f.select("qid", "pos", *[r6(c).alias(c) for c in ranking.FEATURES])
+    short, q, t, kind = _alike(s, d)
+    f = ranking.featurized(short, q, picked(t, short))
+    return _spread(f.select("qid", "pos", *[r6(c).alias(c) for c in ranking.FEATURES]), kind)
+
+
+def picked(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sentences that the rows name, before their tokens are made."""
+    return t.join(rows.select("pos").distinct(), "pos", "left_semi")
 
 
 @query
@@ -264,9 +293,9 @@ def supported_features(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def learned_rank(s: SparkSession, d: str) -> DataFrame:
-    short, q, t = _short(s, d)
-    x = ranking.learned(ranking.featurized(short, q, t))
-    return x.filter("place <= 10").select("qid", "pos", "place", r6("p").alias("p"), r6("conf").alias("conf"))
+    short, q, t, kind = _alike(s, d)
+    x = ranking.learned(ranking.featurized(short, q, picked(t, short)))
+    return _spread(x.filter("place <= 10").select("qid", "pos", "place", r6("p").alias("p"), r6("conf").alias("conf")), kind)
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
