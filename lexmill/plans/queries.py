@@ -80,6 +80,11 @@ def asked(s: SparkSession, d: str, unicode: bool) -> tuple[DataFrame, DataFrame,
     return t, q, post, cut(ranking.question_tokens(q, t, ranking.vocabulary(t, post)))
 
 
+def topk(q: DataFrame, toks: DataFrame, post: DataFrame, by: str, k: int, avgdl: DataFrame | None = None) -> DataFrame:
+    kind = cut(ranking.kinds(toks, q.select("qid", F.lit(k).alias("width"))))
+    return ranking.spread(ranking.best(toks, post, kind, by, avgdl), kind).select("qid", "pos", r6(by).alias("score"), "rank")
+
+
 # ---- text ----
 
 
@@ -222,9 +227,8 @@ def lexical_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    t, _, post, q = searchable(s, d, False)
-    x = ranking.text_scores(q, post, ranking.mean_length(t)).withColumn("bm25", F.round("bm25", 9))
-    return ranking.ranked(x, "bm25", 10).select("qid", "pos", r6("bm25").alias("score"), "rank")
+    t, q, post, toks = asked(s, d, False)
+    return topk(q, toks, post, "bm25", 10, ranking.mean_length(t))
 
 
 @query
