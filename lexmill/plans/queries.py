@@ -303,9 +303,9 @@ def learned_rank(s: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    short, q, t = _short(s, d, True)
-    x = ranking.learned(ranking.featurized(short, q, t))
-    return x.filter("place <= 10").join(t.select("pos", "source", "text"), "pos").select("qid", "place", "pos", "source", "text", r6("p").alias("p"))
+    short, q, t, kind = _alike(s, d, True)
+    x = cut(ranking.learned(ranking.featurized(short, q, picked(t, short))).filter("place <= 10"))
+    return _spread(x.join(picked(sentences(s, d), x).select("pos", "source", "text"), "pos").select("qid", "place", "pos", "source", "text", r6("p").alias("p")), kind)
 
 
 @query
