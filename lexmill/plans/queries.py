@@ -220,9 +220,8 @@ def mean_length(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lexical_topk(s: SparkSession, d: str) -> DataFrame:
-    _, _, post, q = searchable(s, d, False)
-    t = ranking.text_scores(q, post).withColumn("lex", F.round("lex", 9))
-    return ranking.ranked(t, "lex", 10).select("qid", "pos", r6("lex").alias("score"), "rank")
+    _, q, post, toks = asked(s, d, False)
+    return topk(q, toks, post, "lex", 10)
 
 
 @query
