@@ -376,11 +376,12 @@ def packed_replies(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def reply_texts(s: SparkSession, d: str) -> DataFrame:
-    short, q, t = _short(s, d, True)
-    x = ranking.learned(ranking.featurized(short, q, t))
-    up = ranking.pulled_up(x.select("qid", "pos", "score"), t)
-    lines = reply.packed(up, q, t.withColumn("shown", T.shown_section(F.col("section"))))
-    return reply.rendered(lines, q, x.select("qid", "conf").distinct()).select("qid", "reply", r6("conf").alias("conf"))
+    short, q, t, kind = _alike(s, d, True, replies=True)
+    x = cut(ranking.learned(ranking.featurized(short, q, picked(t, short))))
+    every = sentences(s, d).filter("text is not null and source is not null")
+    up = cut(ranking.pulled_up(x.select("qid", "pos", "score"), every))
+    lines = reply.packed(up, q, picked(every, up).withColumn("shown", T.shown_section(F.col("section"))))
+    return _spread(reply.rendered(lines, q, x.select("qid", "conf").distinct()).select("qid", "reply", r6("conf").alias("conf")), kind)
 
 
 @query

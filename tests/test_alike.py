@@ -11,7 +11,7 @@ from lexmill.plans import sql
 
 TOPICS = ("cache", "shard rank", "rank of the shard", "report", "shard shard index", "index budget cache")
 QUESTIONS, SENTENCES = 240, 400
-NAMES = ["candidate_features", "bm25_topk", "learned_answers", "lexical_topk"]
+NAMES = ["candidate_features", "bm25_topk", "learned_answers", "lexical_topk", "reply_texts"]
 
 
 @pytest.fixture(scope="module")
